@@ -21,6 +21,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs, _tokenizer("piece_bpe_32k.model")))
+
+
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licences import scan
 
