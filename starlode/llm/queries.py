@@ -34,6 +34,12 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit(docs, _tokenizer("piece_bpe_32k.model")))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licences import scan
 
