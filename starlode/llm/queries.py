@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -40,6 +41,13 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licences import scan
 
