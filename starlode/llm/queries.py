@@ -48,6 +48,13 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, F.col("vec_id") % 20 == 0)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licences import scan
 
