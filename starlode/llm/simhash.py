@@ -34,8 +34,9 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut
 from .graphs import connected_components
@@ -155,8 +156,8 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
     return df.select(df[key], df[text].cast("string")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, print long")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, shingle: int = 3) -> DataFrame:
-    """key, fingerprint (16 hex digits) and component_id of every row of ``df``."""
+def _components(df: DataFrame, key: str, text: str, radius: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(key, print) of every row, and (print, root, component_id) of every fingerprint."""
     docs = cut(fingerprints(df, key, text, shingle))
     prints = cut(docs.groupBy("print").agg(F.min(key).alias("least")))
     # connected_components names a component by its smallest fingerprint; the smallest id is wanted
@@ -164,5 +165,38 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     rooted = prints.join(parts, prints["print"] == parts["id"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     rooted = cut(rooted)
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(of_root, "root").select("print", "component_id")
+    return docs, rooted.join(of_root, "root").select("print", "root", "component_id")
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, shingle: int = 3) -> DataFrame:
+    """key, fingerprint (16 hex digits) and component_id of every row of ``df``."""
+    docs, named = _components(df, key, text, radius, shingle)
     return docs.join(named, "print").select(key, F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, shingle: int = 3) -> DataFrame:
+    """One row of ``df`` per component: that with the smallest id; of rows that share this id, the
+    first by their other columns. Components without any id keep one of their rows."""
+    docs, named = _components(df, key, text, radius, shingle)
+    named = cut(named)
+    kept = named.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias(key)).distinct()
+    out = df.join(kept, key, "left_semi").select(*df.columns)
+    repeated = docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+    others = [F.xxhash64(*(c for c in df.columns if c != key)), F.col(text)]
+    if not repeated.isEmpty():
+        first = Window.partitionBy(key).orderBy(*others)
+        out = out.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") == 1).drop("__rank")
+    nameless = named.where(F.col("component_id").isNull()).select("print", "root")
+    if nameless.isEmpty():
+        return out
+    rows = df.where(F.col(key).isNull())
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            prints = np.array([fingerprint(x.as_py(), shingle) for x in b.column(rows.columns.index(text))], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints.view(np.int64))], names=[*rows.columns, "print"])
+
+    schema = T.StructType([*rows.schema, T.StructField("print", T.LongType())])
+    alone = rows.mapInArrow(run, schema).join(nameless, "print")
+    first = Window.partitionBy("root").orderBy(*others)
+    return out.unionByName(alone.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") == 1).select(*df.columns))
