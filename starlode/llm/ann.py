@@ -163,7 +163,8 @@ def search(
         for at in range(0, len(asked), block):
             some = asked.iloc[at : at + block]
             best, own = Best(len(some), k), some["id"].to_numpy()
-            best.scores[:, -1] = some["floor"].to_numpy()  # what is known from other shards prunes here, too
+            # k rows as good as the floor are known from other shards: what is worse can't be among the best
+            best.scores[:] = some["floor"].to_numpy()[:, None]
             tree.search(_matrix(some["v"]), own, best, factor)
             q, j = np.nonzero(best.ids != np.iinfo(np.int64).max)
             out.append(pd.DataFrame({"query_id": own[q], "vec_id": best.ids[q, j], "score": best.scores[q, j]}))
