@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import slices
 from .encoding import ForcedBoundaryEncoder, encoder
 
 RESULTS = {
@@ -51,7 +52,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", results: Sequence[
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         e = encoder(ForcedBoundaryEncoder, tokenizer)
-        for b in batches:
+        for b in slices(batches, 2_000):
             got = [_results(e, x.as_py(), results) for x in b.column(0)]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array([g[r] for g in got], RESULTS[r][1]) for r in results)], names=[*kept, *results])
 

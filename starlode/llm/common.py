@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +51,14 @@ def crc_remainder(column: str, by: int):
 def is_sampled(column: str, share: float):
     """A sampling condition that depends on the row's key alone."""
     return F.pmod(F.xxhash64(F.col(column), F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches a few at a time, so that few texts are Python objects at once; what
+    Arrow's pool keeps of them goes back to the system at the end of the task."""
+    try:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                yield b.slice(at, rows)
+    finally:
+        pa.default_memory_pool().release_unused()

@@ -19,7 +19,7 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-GENERATION = 300_000
+GENERATION = 150_000
 #: Characters up to U+00FF: here Python, tiktoken and tokenizers agree on classes and case.
 GPT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORD_PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+""")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder
+from .common import crc_remainder, slices
 
 UND = "und"
 MARK = "▁"
@@ -155,7 +155,7 @@ def learn(lexicon: Lexicon, words: dict[str, int], steps: int = 6, prior: float
 
 
 class LanguageModel:
-    def __init__(self, languages: Sequence[str], lexicon: Lexicon, probability: np.ndarray, memo: int = 300_000):
+    def __init__(self, languages: Sequence[str], lexicon: Lexicon, probability: np.ndarray, memo: int = 200_000):
         self.languages, self.lexicon, self.probability, self.limit = list(languages), lexicon, probability, memo
         self.clear()
 
@@ -247,7 +247,7 @@ def identify(df: DataFrame, model: LanguageModel, key: str = "doc_id", text: str
     """key, held_out, lang_pred and score of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = model.predict(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(found[0], pa.string()), pa.array(found[1], pa.float64())], names=[key, "held_out", "lang_pred", "score"])
 
@@ -260,7 +260,7 @@ def keep(df: DataFrame, model: LanguageModel, least: float = 0.5, text: str = "t
     at = df.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             languages, scores = model.predict(b.column(at).to_pylist())
             yield b.filter(pa.array([x != UND and s >= least for x, s in zip(languages, scores)], pa.bool_()))
 

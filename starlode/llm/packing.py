@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, slices
 from .encoding import BlankBoundaryEncoder, encoder
 
 CELL_ROWS = 20_000
@@ -114,7 +114,7 @@ def tokenize(df: DataFrame, tokenizer: str, end: int, capacity: int, key: str, t
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         e = encoder(BlankBoundaryEncoder, tokenizer)
-        for b in batches:
+        for b in slices(batches, 2_000):
             rows, columns = [], ([], [], [], [])
             for i, x in enumerate(b.column(1)):
                 ids = e.encode(x.as_py()) + tail

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, slices
 from .graphs import connected_components
 
 SEED = 42
@@ -149,7 +149,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
     """(key, print): the fingerprint of every whole text, as a signed long."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2_000):
             prints = np.array([fingerprint(x.as_py(), shingle) for x in b.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], names=[key, "print"])
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder
+from .common import crc_remainder, slices
 
 WINDOW, STRIDE = 16, 12
 UNITS, WORD, CHARS, BUCKETS = 8, 6, 4, 1 << 16
@@ -70,7 +70,7 @@ def signal(have: np.ndarray, have_not: np.ndarray, n: int, m: int) -> np.ndarray
 class Network:
     """The parameters, and the memo of what words contribute to the gates."""
 
-    def __init__(self, vocabulary: dict[str, int], words: np.ndarray, chars: np.ndarray, seed: int = 7, memo: int = 250_000):
+    def __init__(self, vocabulary: dict[str, int], words: np.ndarray, chars: np.ndarray, seed: int = 7, memo: int = 120_000):
         rng, width = np.random.default_rng(seed), WORD + CHARS
         self.vocabulary, self.chars, self.limit = vocabulary, chars.astype(np.float32), memo
         draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
@@ -326,7 +326,7 @@ def score(df: DataFrame, net: Network, key: str = "doc_id", text: str = "text")
     """key, held_out, score and predicted of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             s = net.score(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=[key, "held_out", "score", "predicted"])
 
@@ -339,7 +339,7 @@ def keep(df: DataFrame, net: Network, text: str = "text") -> DataFrame:
     at = df.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(net.score(b.column(at).to_pylist()) < 0.5))
 
     return df.mapInArrow(run, df.schema)
