@@ -189,14 +189,15 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", radius:
     nameless = named.where(F.col("component_id").isNull()).select("print", "root")
     if nameless.isEmpty():
         return out
-    rows = df.where(F.col(key).isNull())
+    names, at = [*df.columns, "__print"], df.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for b in batches:
-            prints = np.array([fingerprint(x.as_py(), shingle) for x in b.column(rows.columns.index(text))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints.view(np.int64))], names=[*rows.columns, "print"])
-
-    schema = T.StructType([*rows.schema, T.StructField("print", T.LongType())])
-    alone = rows.mapInArrow(run, schema).join(nameless, "print")
-    first = Window.partitionBy("root").orderBy(*others)
+        for b in slices(batches):
+            prints = np.array([fingerprint(x.as_py(), shingle) for x in b.column(at)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints.view(np.int64))], names=names)
+
+    schema = T.StructType([*df.schema, T.StructField("__print", T.LongType())])
+    roots = nameless.select(F.col("print").alias("__print"), F.col("root").alias("__root"))
+    alone = df.where(F.col(key).isNull()).mapInArrow(run, schema).join(roots, "__print")
+    first = Window.partitionBy("__root").orderBy(*others)
     return out.unionByName(alone.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") == 1).select(*df.columns))
