@@ -20,8 +20,9 @@ length alone, so equal vectors have equal scores and ties go to smaller ids.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component take no part,
 nor do rows without an id or vectors of another length than the most frequent one; a repeated id is
-as many candidates as it has rows, and a query with several vectors gets the best of all of them; a query with fewer candidates than k gets all; other columns are ignored; an empty
-table gives an empty result.
+as many candidates as it has rows, and a query with several vectors gets the best of all of them; a
+query with fewer candidates than k gets all; other columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 LEAF = 96
+NOBODY = np.iinfo(np.int64).max
 
 
 def usable(vector: Column) -> Column:
@@ -57,11 +59,11 @@ class Best:
     """The k best of each query so far: higher scores, then smaller ids."""
 
     def __init__(self, n: int, k: int):
-        self.k, self.scores, self.ids = k, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        self.k, self.scores, self.ids = k, np.full((n, k), -np.inf), np.full((n, k), NOBODY)
 
     def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         s = np.concatenate([self.scores[rows], scores], axis=1)
-        i = np.concatenate([self.ids[rows], np.broadcast_to(ids, scores.shape)], axis=1)
+        i = np.concatenate([self.ids[rows], np.where(scores > -np.inf, ids, NOBODY)], axis=1)
         order = np.lexsort((i, -s), axis=1)[:, : self.k]
         self.scores[rows], self.ids[rows] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
@@ -166,7 +168,7 @@ def search(
             # k rows as good as the floor are known from other shards: what is worse can't be among the best
             best.scores[:] = some["floor"].to_numpy()[:, None]
             tree.search(_matrix(some["v"]), own, best, factor)
-            q, j = np.nonzero(best.ids != np.iinfo(np.int64).max)
+            q, j = np.nonzero(best.ids != NOBODY)
             out.append(pd.DataFrame({"query_id": own[q], "vec_id": best.ids[q, j], "score": best.scores[q, j]}))
         return pd.concat(out, ignore_index=True)
 
