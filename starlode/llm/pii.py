@@ -101,7 +101,7 @@ def luhn(digits: Column) -> Column:
     def total(r: Column) -> Column:
         digit = lambda i: F.substring(r, i, F.lit(1))
         doubled = lambda i: F.translate(digit(i), "123456789", "246813579")
-        return F.aggregate(F.sequence(F.lit(1), F.length(r)), F.lit(0), lambda a, i: a + F.when(i % 2 == 1, digit(i)).otherwise(doubled(i)).cast("int"))
+        return F.aggregate(F.sequence(F.lit(1), F.length(r)), F.lit(0), lambda a, i: a + F.coalesce(F.when(i % 2 == 1, digit(i)).otherwise(doubled(i)).try_cast("int"), F.lit(0)))
 
     return let(F.reverse(digits), total) % 10 == 0
 
