@@ -9,7 +9,8 @@ apart into rows that carry their position.
 
 Scale. Payloads are never shuffled: each writing task keeps one copy per digest, and readers reduce
 what they compute to one small row per digest before any join. So a payload that a third of all
-documents share is one row on the media side; on the other side Spark may split its references.
+documents share is one row on the media side. These rows are cut off from their aggregation, so
+that both sides of the join are dealt for it alone and Spark may split a digest's references.
 ``resolve`` joins such small rows by default, or the media themselves if asked to.
 
 Defined results: null texts are empty, empty payloads are 64 zero bytes; null html is an empty
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import cut, written
 
 WIDTH = 64
 PNG = b"\x89PNG\r\n\x1a\n"
@@ -251,7 +252,7 @@ def document_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     size = F.coalesce(F.octet_length("__text"), F.lit(0)).cast("long").cast("string")
     pages = texts.select("__key", page_of(F.col("__text"), size).alias("html"))
     refs = references(parse(pages, "__key"), "__key")
-    found = resolve(refs, read_back(store(texts, "__text")))
+    found = resolve(refs, cut(read_back(store(texts, "__text"))))
     return found.select(
         F.col("__key").alias(key), F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position"
     )
