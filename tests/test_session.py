@@ -71,8 +71,7 @@ def test_delimited(spark, tmp_path):
 def test_running_totals_stream(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parque[t]")
-    q = windows.running_totals(stream, "event_type", "value").writeStream.outputMode("update").format("memory").queryName("totals").option("checkpointLocation", str(tmp_path)).start()
-    q.processAllAvailable()  # a state with a time-out keeps an availableNow trigger waiting for it
-    q.stop()
+    q = windows.running_totals(stream, "event_type", "value").writeStream.outputMode("update").format("memory").queryName("totals").option("checkpointLocation", str(tmp_path)).trigger(once=True).start()  # a state with a time-out keeps other triggers running for it
+    assert q.awaitTermination(120)
     got = {r.event_type: r.n for r in spark.table("totals").groupBy("event_type").agg(F.max("n").alias("n")).collect()}
     assert got == {r.event_type: r.n for r in events.groupBy("event_type").agg(F.count("*").alias("n")).collect()}
