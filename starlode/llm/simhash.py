@@ -28,7 +28,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -178,6 +178,12 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", radius:
     """One row of ``df`` per component: that with the smallest id; of rows that share this id, the
     first by their other columns. Components without any id keep one of their rows."""
     docs, named = _components(df, key, text, radius, shingle)
+    return keep_least(df, docs, named, key, text, lambda x: fingerprint(x, shingle))
+
+
+def keep_least(df: DataFrame, docs: DataFrame, named: DataFrame, key: str, text: str, of: Callable[[str | None], int]) -> DataFrame:
+    """What ``deduplicate`` keeps, from (key, print) of every row and (print, root, component_id) of
+    every print; ``of`` gives a text's print."""
     named = cut(named)
     kept = named.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias(key)).distinct()
     out = df.join(kept, key, "left_semi").select(*df.columns)
@@ -193,7 +199,7 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", radius:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in slices(batches):
-            prints = np.array([fingerprint(x.as_py(), shingle) for x in b.column(at)], dtype=np.uint64)
+            prints = np.array([of(x.as_py()) for x in b.column(at)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints.view(np.int64))], names=names)
 
     schema = T.StructType([*df.schema, T.StructField("__print", T.LongType())])
