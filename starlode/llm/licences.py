@@ -3,7 +3,7 @@
 A text's canonical form has A-Z in lower case, no copyright lines, equivalent spellings made one,
 runs of punctuation and white space made one blank, none at its ends. Its SHA-256 is joined to the
 digests of known licence texts: a whole text is that licence or it isn't. The known table has
-``len(KNOWN)`` rows, a bound that doesn't depend on the input, so it is broadcast; documents are
+``len(TABLE)`` rows, a bound that doesn't depend on the input, so it is broadcast; documents are
 neither shuffled nor grouped. All steps are SQL functions; ``oracle_sql`` has the same in DuckDB.
 
 Defined results: a null text counts as empty; an empty canonical form matches nothing; null and
@@ -12,6 +12,7 @@ repeated ids are kept; other columns are ignored.
 
 from __future__ import annotations
 
+from pathlib import Path
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
@@ -64,6 +65,10 @@ KNOWN = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
 
+#: Whole licence texts, each named by its file.
+FULL = tuple((p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")))
+TABLE = KNOWN + FULL
+
 
 def canonical(text: Column) -> Column:
     out = F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase)
@@ -78,7 +83,7 @@ def digest(text: Column) -> Column:
     return F.sha2(F.encode(canonical(text), "utf-8"), 256)
 
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text", known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
+def scan(df: DataFrame, key: str = "doc_id", text: str = "text", known: tuple[tuple[str, str], ...] = TABLE) -> DataFrame:
     """key, digest and license (null: none) of every row."""
     texts = df.sparkSession.createDataFrame([*known], "license string, text string")
     table = texts.where(canonical(F.col("text")) != "").groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
@@ -86,7 +91,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", known: tuple[tu
     return rows.join(F.broadcast(table), "digest", "left").select(key, "digest", "license")
 
 
-def oracle(known: tuple[tuple[str, str], ...] = KNOWN) -> str:
+def oracle(known: tuple[tuple[str, str], ...] = TABLE) -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
 
     def form(x: str) -> str:

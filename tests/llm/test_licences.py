@@ -28,3 +28,13 @@ def test_odd_rows(spark):
     got = licences.scan(df)
     assert sorted(((r.doc_id or 0, r.license) for r in got.collect()), key=str) == sorted([(0, "MIT"), (1, None), (2, None), (3, None), (4, None), (5, None), (6, "MIT"), (6, "MIT")], key=str)
     assert licences.scan(df.limit(0)).count() == 0
+
+
+def test_whole_texts_are_found(spark):
+    names = {"Apache-2.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "Artistic-1.0-Perl", "BSL-1.0", "Unlicense"}
+    assert {name for name, _ in licences.FULL} == names
+    rows = []
+    for i, (name, text) in enumerate(licences.FULL):
+        rows += [(10 * i, text, name), (10 * i + 1, "Copyright 2021 Someone\n\n" + text.upper().replace("\n", "\r\n"), name), (10 * i + 2, text + " and more", None)]
+    got = {r.doc_id: r.license for r in licences.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id int, text string")).collect()}
+    assert got == {i: name for i, _, name in rows}
