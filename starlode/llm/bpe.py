@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import batched, slices
 from .encoding import ForcedBoundaryEncoder, encoder
 
 RESULTS = {
@@ -56,7 +56,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", results: Sequence[
             got = [_results(e, x.as_py(), results) for x in b.column(0)]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array([g[r] for g in got], RESULTS[r][1]) for r in results)], names=[*kept, *results])
 
-    return df.select(df[text].cast("string"), *(df[c] for c in kept)).mapInArrow(run, T.StructType(fields))
+    return batched(df.select(df[text].cast("string"), *(df[c] for c in kept))).mapInArrow(run, T.StructType(fields))
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -69,4 +69,4 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", decoded: str = "deco
             texts = [e.decode(array("I", x.as_py() or []).tobytes()) for x in b.column(0)]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(texts, pa.string())], names=[*kept, decoded])
 
-    return df.select(df[ids].cast("array<bigint>"), *(df[c] for c in kept)).mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), T.StructField(decoded, T.StringType())]))
+    return batched(df.select(df[ids].cast("array<bigint>"), *(df[c] for c in kept))).mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), T.StructField(decoded, T.StringType())]))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import hashlib
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,17 +52,60 @@ def crc_remainder(column: str, by: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % by
 
 
-def is_sampled(column: str, share: float):
-    """A sampling condition that depends on the row's key alone."""
-    return F.pmod(F.xxhash64(F.col(column), F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "64m", "2m")
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """``df``, whose session is told to hand rows to Python in batches of about 2 MB: 10,000 long texts at
+    once, Spark's default, are held several times by executor and worker. Other settings than the
+    default are left as they are."""
+    name, default, wanted = BATCH
+    conf = df.sparkSession.conf
+    if conf.get(name, default) in (default, "67108864b", "67108864"):
+        conf.set(name, wanted)
+    return df
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: Python's garbage, Arrow's pool and the C library's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+_held: dict[Hashable, object] = {}
+
+
+def held(name: Hashable, make: Callable[[], object]):
+    """The one model that a Python worker keeps from task to task; another one takes its place, so a
+    worker that serves many stages holds what one of them needs."""
+    if name not in _held:
+        _held.clear()
+        trim()
+        _held[name] = make()
+    return _held[name]
+
+
+class Shared:
+    """A model as bytes, which every worker reads once however many tasks it runs."""
+
+    def __init__(self, model: object):
+        self.data = pickle.dumps(model, protocol=pickle.HIGHEST_PROTOCOL)
+        self.name = hashlib.sha256(self.data).hexdigest()
+
+    def get(self):
+        return held(self.name, lambda: pickle.loads(self.data))
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The rows of Arrow batches a few at a time, so that few texts are Python objects at once; what
-    Arrow's pool keeps of them goes back to the system at the end of the task."""
+    is freed goes back to the system at the end of the task."""
     try:
         for b in batches:
             for at in range(0, b.num_rows, rows):
                 yield b.slice(at, rows)
     finally:
-        pa.default_memory_pool().release_unused()
+        trim()

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import batched, cut, written
 
 WIDTH = 64
 PNG = b"\x89PNG\r\n\x1a\n"
@@ -170,7 +170,7 @@ def parse(df: DataFrame, key: str, html: str = "html") -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sequence(x.as_py()) for x in b.column(1)], kind)], names=[key, "items"])
 
-    return df.select(df[key], df[html].cast("string")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, items array<{ITEM}>")
+    return batched(df.select(df[key], df[html].cast("string"))).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, items array<{ITEM}>")
 
 
 def references(parsed: DataFrame, key: str) -> DataFrame:
@@ -210,7 +210,7 @@ def store(df: DataFrame, text: str = "text", name: str = "media") -> DataFrame:
                     digests, sizes, media, held = [], [], [], 0
             yield batch()
 
-    return written(df.select(df[text].cast("string")).mapInArrow(run, "digest string, n_bytes long, media binary"), name)
+    return written(batched(df.select(df[text].cast("string"))).mapInArrow(run, "digest string, n_bytes long, media binary"), name)
 
 
 def read_back(media: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def read_back(media: DataFrame) -> DataFrame:
 
     names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("digest", "media").mapInArrow(run, schema).groupBy("digest").agg(*(F.min(c).alias(c) for c in names[1:]))
+    return batched(media.select("digest", "media")).mapInArrow(run, schema).groupBy("digest").agg(*(F.min(c).alias(c) for c in names[1:]))
 
 
 def resolve(refs: DataFrame, media: DataFrame) -> DataFrame:

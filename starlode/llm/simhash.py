@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, slices
+from .common import batched, cut, slices
 from .graphs import connected_components
 
 SEED = 42
@@ -153,7 +153,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
             prints = np.array([fingerprint(x.as_py(), shingle) for x in b.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], names=[key, "print"])
 
-    return df.select(df[key], df[text].cast("string")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, print long")
+    return batched(df.select(df[key], df[text].cast("string"))).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, print long")
 
 
 def _components(df: DataFrame, key: str, text: str, radius: int, shingle: int) -> tuple[DataFrame, DataFrame]:
@@ -204,6 +204,6 @@ def keep_least(df: DataFrame, docs: DataFrame, named: DataFrame, key: str, text:
 
     schema = T.StructType([*df.schema, T.StructField("__print", T.LongType())])
     roots = nameless.select(F.col("print").alias("__print"), F.col("root").alias("__root"))
-    alone = df.where(F.col(key).isNull()).mapInArrow(run, schema).join(roots, "__print")
+    alone = batched(df.where(F.col(key).isNull())).mapInArrow(run, schema).join(roots, "__print")
     first = Window.partitionBy("__root").orderBy(*others)
     return out.unionByName(alone.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") == 1).select(*df.columns))

@@ -10,8 +10,8 @@ coordinate of both vectors starts as a statistic of how much more often toxic do
 word or run. The score is calibrated on sample documents that weren't trained on, weighted so
 that classes count as in all labels.
 
-Learning uses a bounded sample: the ``positives`` and ``negatives`` labelled documents whose hash is
-smallest, of at most ``longest`` characters, never those held out. Scoring is a narrow map over
+Learning uses a bounded sample: of the labelled documents of at most ``longest`` characters that aren't
+held out, the ``positives`` and ``negatives`` whose ids' hash is smallest; of an id's texts one. Scoring is a narrow map over
 whole texts; a word's contribution to the gates is computed once and remembered in a memo of bounded
 size, so a step costs little more than its small matrix product.
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, slices
+from .common import Shared, batched, crc_remainder, slices
 
 WINDOW, STRIDE = 16, 12
 UNITS, WORD, CHARS, BUCKETS = 8, 6, 4, 1 << 16
@@ -303,20 +303,21 @@ def held_out(key: str) -> Column:
     return F.coalesce(crc_remainder(key, 5) == 0, F.lit(False))
 
 
-def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", positives: int = 500, negatives: int = 1000, longest: int = 200_000) -> Network:
+def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", positives: int = 500, negatives: int = 1000, longest: int = 50_000) -> Network:
     marks = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__y")).where(F.col("__key").isNotNull() & F.col("__y").isin(0, 1) & ~held_out("__key"))
     marks = marks.groupBy("__key").agg(F.max("__y").alias("__y"))
     totals = {r[0]: r[1] for r in marks.groupBy("__y").agg(F.count("*")).collect()}
     if not totals:
         return train([], [], (1.0, 0.0))
+    docs = df.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text")).where(F.col("__text").isNotNull() & (F.length("__text") <= longest))
+    marks = marks.join(docs.select("__key"), "__key", "left_semi")  # only ids move
     order = [F.xxhash64("__key", F.lit("toxic")), F.col("__key")]
     chosen = None
     for side, n in ((1, positives), (0, negatives)):
         part = marks.where(F.col("__y") == side).orderBy(*order).limit(n)
         chosen = part if chosen is None else chosen.unionByName(part)
-    docs = df.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text")).where(F.col("__text").isNotNull() & (F.length("__text") <= longest))
-    # chosen has at most `positives + negatives` rows
-    rows = docs.join(F.broadcast(chosen), "__key").collect()
+    # chosen has at most `positives + negatives` rows, and so has the result: one text an id
+    rows = docs.join(F.broadcast(chosen), "__key").groupBy("__key", "__y").agg(F.min("__text").alias("__text")).collect()
     rows.sort(key=lambda r: (str(r["__key"]), r["__text"]))
     n = sum(totals.values())
     return train([r["__text"] for r in rows], [r["__y"] for r in rows], (totals.get(0, 0) / n, totals.get(1, 0) / n))
@@ -325,21 +326,25 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
 def score(df: DataFrame, net: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, score and predicted of every row."""
 
+    shared = Shared(net)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        own = shared.get()
         for b in slices(batches):
-            s = net.score(b.column(2).to_pylist())
+            s = own.score(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=[key, "held_out", "score", "predicted"])
 
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, held_out boolean, score double, predicted int"
-    return df.select(F.col(key), held_out(key).alias("__held"), F.col(text).cast("string")).mapInArrow(run, schema)
+    return batched(df.select(F.col(key), held_out(key).alias("__held"), F.col(text).cast("string"))).mapInArrow(run, schema)
 
 
 def keep(df: DataFrame, net: Network, text: str = "text") -> DataFrame:
     """The whole rows of ``df`` whose text isn't predicted to be toxic."""
-    at = df.columns.index(text)
+    at, shared = df.columns.index(text), Shared(net)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        own = shared.get()
         for b in slices(batches):
-            yield b.filter(pa.array(net.score(b.column(at).to_pylist()) < 0.5))
+            yield b.filter(pa.array(own.score(b.column(at).to_pylist()) < 0.5))
 
-    return df.mapInArrow(run, df.schema)
+    return batched(df).mapInArrow(run, df.schema)
