@@ -7,18 +7,21 @@ algorithm; pieces never reach across words, so a text's is the product over its
 runs of letters. Letters outside the vocabulary count as a piece of small fixed probability.
 
 Learning: expectation-maximisation by the forward-backward algorithm over word counts, gathered on
-the executors from a sample: each language's documents are taken with a probability that gives
-``sample`` of them on average, by the hash of their ids, and the ``words`` most frequent
-(language, word) counts per language go to the driver. Languages are the 200 most frequent at most.
+the executors from a bounded sample: each language's documents are taken with a probability that
+gives ``sample`` of them on average, by the 64-bit hash of their ids, and of each language the
+``words`` most frequent words. Every language is learned, each in a task of its own; the driver holds
+a number per piece and language, about 80 KB a language. Words longer than ``CUT`` letters are learned
+from in parts of that length, and scored whole.
 
 Scoring is a narrow map over whole texts. Words' scores are computed in batches and remembered in a
 memo of bounded size. ``score`` is the posterior probability of the language that is returned
 (``und``: 0), with equal priors.
 
-Defined results: null texts and texts without letters are ``und`` with score 0; if no language can
-be learned, all texts are; ties go to the language that sorts first; rows with null ids are not
-held out and never learned from; repeated rows are kept; other columns are ignored (``keep`` keeps
-whole rows); an empty table gives an empty result.
+Defined results: null texts and texts without letters (characters of Unicode's letter categories) are
+``und`` with score 0; if no language can be learned, all texts are; ties go to the language that sorts
+first; rows with null ids are not held out and never learned from; repeated rows are kept; a very long
+text is held by one task as its words, 256 texts at a time at most; other columns are ignored (``keep``
+keeps whole rows); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,20 +31,29 @@ from collections import Counter
 from collections.abc import Iterable, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, slices
+from .common import Shared, batched, crc_remainder, held, slices
 
 UND = "und"
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
-LONGEST = 10
+LONGEST, CUT = 10, 40
 UNKNOWN = 1e-7
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def letters(text: str) -> list[str]:
+    """The runs of letters of a text; the pattern also takes numerals like \u00bd and \u2167, which are none."""
+    found = LETTERS.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in ("".join(c if c.isalpha() else " " for c in x).split())]
+
+
 class Lexicon:
     """Pieces by the hash of their characters: tables without collisions, tried one after another."""
 
@@ -123,10 +135,13 @@ def forward(lattice: np.ndarray, probability: np.ndarray) -> np.ndarray:
 
 def learn(lexicon: Lexicon, words: dict[str, int], steps: int = 6, prior: float = 0.05) -> np.ndarray:
     """Piece probabilities that fit word counts, by expectation-maximisation."""
-    by_length: dict[int, list[str]] = {}
+    parts: Counter = Counter()
+    for w, n in words.items():
+        for at in range(0, len(w), CUT):
+            parts[w[at : at + CUT]] += n
+    words, by_length = parts, {}
     for w in words:
-        if len(w) <= 40:
-            by_length.setdefault(len(w), []).append(w)
+        by_length.setdefault(len(w), []).append(w)
     lattices = [(lexicon.lattice(ws, n), np.array([words[w] for w in ws], dtype=float)) for n, ws in by_length.items()]
     size = len(lexicon.pieces)
     p = np.append(np.full(size, 1 / size), 0.0)
@@ -155,8 +170,10 @@ def learn(lexicon: Lexicon, words: dict[str, int], steps: int = 6, prior: float
 
 
 class LanguageModel:
-    def __init__(self, languages: Sequence[str], lexicon: Lexicon, probability: np.ndarray, memo: int = 200_000):
-        self.languages, self.lexicon, self.probability, self.limit = list(languages), lexicon, probability, memo
+    def __init__(self, languages: Sequence[str], lexicon: Lexicon, probability: np.ndarray, memo: int = 1_000_000):
+        """``memo``: how many scores are remembered, over all languages."""
+        self.languages, self.lexicon, self.probability, self.memo = list(languages), lexicon, probability, memo
+        self.limit = max(1_000, memo // (len(self.languages) + 1))
         self.clear()
 
     def clear(self) -> None:
@@ -164,11 +181,11 @@ class LanguageModel:
         self.scores = np.zeros((4096, len(self.languages) + 1))  # the last column counts letters
 
     def __getstate__(self):
-        return self.languages, self.lexicon.pieces, self.probability, self.limit
+        return self.languages, self.lexicon.pieces, self.probability, self.memo
 
     def __setstate__(self, state):
-        languages, pieces, probability, limit = state
-        self.__init__(languages, Lexicon(pieces), probability, limit)
+        languages, pieces, probability, memo = state
+        self.__init__(languages, Lexicon(pieces), probability, memo)
 
     def add(self, tokens: Sequence[str]) -> None:
         """Scores of tokens that the memo doesn't have."""
@@ -179,10 +196,10 @@ class LanguageModel:
         by_length: dict[int, list[tuple[int, str]]] = {}
         for i, t in enumerate(tokens, at):
             self.rows[t] = i
-            for w in (t,) if t.isalpha() else LETTERS.findall(t):
+            for w in (t,) if t.isalpha() else letters(t):
                 by_length.setdefault(len(w) + 1, []).append((i, MARK + w))
         for n, found in by_length.items():
-            for b in range(0, len(found), step := max(1, 200_000 // n)):
+            for b in range(0, len(found), step := max(1, 800_000 // (n * max(4, len(self.languages))))):
                 some = found[b : b + step]
                 logs = forward(self.lexicon.lattice([w for _, w in some], n), self.probability)
                 np.add.at(self.scores, [i for i, _ in some], np.c_[logs, np.full(len(some), n - 1.0)])
@@ -216,52 +233,68 @@ def held_out(key: str) -> Column:
 
 def fit(df: DataFrame, pieces: str, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 600, words: int = 20_000) -> LanguageModel:
     """A model of ``df``'s languages, from rows that aren't held out. ``pieces``: a SentencePiece
-    model's path."""
+    model's path, the same on all machines."""
     rows = df.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"), F.col(lang).cast("string").alias("__lang"))
     rows = rows.where(F.col("__lang").isNotNull() & (F.col("__lang") != UND) & F.col("__text").isNotNull() & F.col("__key").isNotNull() & ~held_out("__key"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("__lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "__lang").limit(200).collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy("__lang").agg(F.count("*")).collect()}  # a row per language
     lexicon = Lexicon(vocabulary(pieces))
     if not sizes:
         return LanguageModel([], lexicon, np.zeros((len(lexicon.pieces) + 1, 0)))
-    share = df.sparkSession.createDataFrame([(k, int(min(1.0, sample / n) * 1_000_000)) for k, n in sizes.items()], "__lang string, __share long")
-    chosen = rows.join(F.broadcast(share), "__lang").where(F.pmod(F.xxhash64("__key", F.lit("lang")), F.lit(1_000_000)) < F.col("__share"))
+    share = df.sparkSession.createDataFrame([(k, threshold(sample, n)) for k, n in sizes.items()], "__lang string, __most long")
+    # a row per language, so its size is known here; a shuffle would take whole texts to one task a language
+    share = F.broadcast(share) if len(sizes) <= 100_000 else share
+    chosen = rows.join(share, "__lang").where(F.xxhash64("__key", F.lit("lang")) <= F.col("__most"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             seen: dict[str, Counter] = {}
             for name, t in zip(b.column(0).to_pylist(), b.column(1)):
-                seen.setdefault(name, Counter()).update(LETTERS.findall(t.as_py().lower()))
+                seen.setdefault(name, Counter()).update(letters(t.as_py().lower()))
             flat = [(k, w, n) for k, c in seen.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["__lang", "word", "n"])
 
-    counted = chosen.select("__lang", "__text").mapInArrow(count, "__lang string, word string, n long").groupBy("__lang", "word").agg(F.sum("n").alias("n"))
-    found: dict[str, dict[str, int]] = {}
-    for k, w, n in counted.orderBy(F.desc("n"), "__lang", "word").limit(words * len(sizes)).collect():
-        found.setdefault(k, {})[MARK + w] = n
+    def one(names: tuple, counted: pd.DataFrame) -> pd.DataFrame:
+        own = held(("lexicon", pieces), lambda: Lexicon(vocabulary(pieces)))
+        counted = counted.sort_values(["n", "word"], ascending=[False, True])
+        learned = learn(own, dict(zip((MARK + counted["word"]).tolist(), counted["n"].tolist())))
+        return pd.DataFrame({"__lang": [names[0]], "p": [learned.astype(np.float64).tobytes()]})
+
+    counted = batched(chosen.select("__lang", "__text")).mapInArrow(count, "__lang string, word string, n long").groupBy("__lang", "word").agg(F.sum("n").alias("n"))
+    often = F.row_number().over(Window.partitionBy("__lang").orderBy(F.desc("n"), "word"))
+    top = counted.withColumn("__rank", often).where(F.col("__rank") <= words).select("__lang", "word", "n")
+    found = {r[0]: np.frombuffer(r[1]) for r in top.groupBy("__lang").applyInPandas(one, "__lang string, p binary").collect()}
     languages = sorted(found)
-    probability = np.stack([learn(lexicon, found[k]) for k in languages], axis=1) if languages else np.zeros((len(lexicon.pieces) + 1, 0))
+    probability = np.stack([found[k] for k in languages], axis=1) if languages else np.zeros((len(lexicon.pieces) + 1, 0))
     return LanguageModel(languages, lexicon, probability)
 
 
+def threshold(sample: int, n: int) -> int:
+    """The signed 64-bit hash up to which rows are taken, so that of n rows ``sample`` are on average."""
+    return min(2**63 - 1, sample * 2**64 // n - 2**63)
+
+
 def identify(df: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, lang_pred and score of every row."""
+    shared = Shared(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        own = shared.get()
         for b in slices(batches):
-            found = model.predict(b.column(2).to_pylist())
+            found = own.predict(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(found[0], pa.string()), pa.array(found[1], pa.float64())], names=[key, "held_out", "lang_pred", "score"])
 
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, held_out boolean, lang_pred string, score double"
-    return df.select(F.col(key), held_out(key).alias("__held"), F.col(text).cast("string")).mapInArrow(run, schema)
+    return batched(df.select(F.col(key), held_out(key).alias("__held"), F.col(text).cast("string"))).mapInArrow(run, schema)
 
 
 def keep(df: DataFrame, model: LanguageModel, least: float = 0.5, text: str = "text") -> DataFrame:
     """The whole rows of ``df`` that have a language with a score of ``least`` or more."""
-    at = df.columns.index(text)
+    at, shared = df.columns.index(text), Shared(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        own = shared.get()
         for b in slices(batches):
-            languages, scores = model.predict(b.column(at).to_pylist())
+            languages, scores = own.predict(b.column(at).to_pylist())
             yield b.filter(pa.array([x != UND and s >= least for x, s in zip(languages, scores)], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return batched(df).mapInArrow(run, df.schema)
