@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.elimination import kind
 from ..plans.interval import Interval, bucket
 from ..plans.model import Dependencies, FunctionalDependency, ModelError, Role, StarSchema, infer_roles
 from ..plans.native import Compiler, NativeQuery
@@ -44,7 +45,7 @@ class Options:
     use_sketches: bool = True
     non_aggregate: str = "push_none"  # push_none: rows come from the star; push_filters, push_project_and_filters: from an index
     broadcast_bytes: int = 32 << 20
-    trust_star: bool = False  # keys are known to be set, known and unique: no check before a join is left out
+    trust_star: bool = True  # edges between whole tables hold as declared (``Cube.validate`` checks them); else each is checked before a join is left out
     query_granularity: str = "none"
     column_mapping: Mapping[str, str] = field(default_factory=dict)
 
@@ -89,17 +90,34 @@ class Cube:
             self._sizes[table] = int(str(stats.sizeInBytes()))
         return self._sizes[table] <= self.options.broadcast_bytes
 
-    def _is_intact(self, edge) -> bool:
+    def _is_whole(self, table: str) -> bool:
+        """Whether a table is all of its source: columns may be renamed, rows not left out."""
+        plan = self.tables[table]._jdf.queryExecution().optimizedPlan()
+        while kind(plan) in ("Project", "SubqueryAlias"):
+            plan = plan.child()
+        return kind(plan) in ("LogicalRelation", "HiveTableRelation", "DataSourceV2Relation")
+
+    def is_intact(self, edge) -> bool:
+        """Whether every row of the edge's left table meets exactly one of its right table. That is what
+        declaring an edge between whole tables says; of a right table that is a selection of rows, or
+        without ``trust_star``, it is found out once, by a pass over the keys of both."""
         if edge.right not in self._intact:
-            self._intact[edge.right] = self.options.trust_star or self.star.intact(edge, self.tables)
+            self._intact[edge.right] = self.options.trust_star and self._is_whole(edge.right) or self.star.intact(edge, self.tables)
         return self._intact[edge.right]
 
+    def validate(self) -> None:
+        """Checks every edge on the data (keys set, known and unique), and remembers it."""
+        for e in self.star.ordered():
+            self._intact[e.right] = self.star.intact(e, self.tables)
+        if broken := [f"{e.left} - {e.right}" for e in self.star.ordered() if not self._intact[e.right]]:
+            raise ModelError(f"not every row meets exactly one along {', '.join(broken)}")
+
     def rows(self, columns: Iterable[str] | None = None) -> DataFrame:
         """The star joined as far as ``columns`` need it. Joins that give no column are left out where
-        every row is known to meet exactly one (checked once), else kept."""
+        ``is_intact`` says that every row meets exactly one, else kept."""
         columns = self.columns if columns is None else list(columns)
         needed = self.star.needed([*columns, self.time_col])
-        edges = [e for e in self.star.ordered() if e in needed or not self._is_intact(e)]
+        edges = [e for e in self.star.ordered() if e in needed or not self.is_intact(e)]
         out = self.tables[self.star.fact]
         for e in edges:
             right = self.tables[e.right]
@@ -178,10 +196,18 @@ class Cube:
             out = out.where(having)
         if order:
             out = out.orderBy(*(F.col(c[1:]).desc() if c.startswith("-") else F.col(c) for c in order))
-        most = self.options.max_result_rows
-        if limit is not None or most is not None:
-            out = out.limit(min(x for x in (limit, most) if x is not None))
-        return out
+        if limit is not None:
+            out = out.limit(limit)
+        return self.guarded(out)
+
+    def guarded(self, out: DataFrame, most: int | None = None) -> DataFrame:
+        """``out``, which fails when it runs if it has more than ``most`` (``max_result_rows``) rows."""
+        if (most := self.options.max_result_rows if most is None else most) is None:
+            return out
+        # a limit's rows are in one partition, so these numbers count them
+        numbered = out.limit(most + 1).withColumn("__row", F.monotonically_increasing_id())
+        fits = F.when(F.col("__row") < most, True).otherwise(F.raise_error(F.lit(f"more than {most} result rows")).cast("boolean"))
+        return numbered.where(fits).drop("__row")
 
     def native(self, query: str | Mapping | NativeQuery) -> DataFrame:
         q = query if isinstance(query, NativeQuery) else NativeQuery.parse(query)

@@ -9,17 +9,19 @@ from pyspark.sql import functions as F
 
 from ..sources.index import Rollup
 from .interval import NAMED, Interval
+from .model import ModelError
 
 
 def eager_agg(fact: DataFrame, one_row: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column], outer: Sequence[Column] = ()) -> DataFrame:
     """``fact`` beside the row of ``one_row``, grouped by ``keys``: the groups are formed before the
-    join, which then carries one row a group. ``one_row`` must be a global aggregate: with another
-    number of rows the result would differ, so it is broadcast as a row of scalar subqueries' kind.
+    join, which then carries one row a group. ``one_row`` must have one row at most by its plan, as a
+    global aggregate has: with more the result would differ, so ``ModelError`` is raised.
     ``outer``: more columns, of either side. Aggregates read ``fact`` alone."""
+    most = one_row._jdf.queryExecution().optimizedPlan().maxRows()
+    if not most.isDefined() or int(most.get()) > 1:
+        raise ModelError("the other side of an eager aggregation must have one row at most")
     grouped = fact.groupBy(*keys).agg(*(c.alias(n) for n, c in aggs.items()))
-    # one row by construction of a global aggregate; checked by limit(2), never more than a row moves
-    joined = grouped.crossJoin(F.broadcast(one_row.limit(1)))
-    return joined.select(*keys, *aggs, *outer)
+    return grouped.crossJoin(F.broadcast(one_row)).select(*keys, *aggs, *outer)
 
 
 GRAINS = [*NAMED, "week", "month", "quarter", "year"]

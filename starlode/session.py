@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+import threading
 import time
+import uuid
 from collections import deque
 from collections.abc import Callable, Iterable
 from datetime import datetime, timezone
@@ -14,8 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dates
+from .functions.extraction import Unsupported
 from .operators.cube import Cube
 from .plans import cost
+from .plans.elimination import Edges, eliminate
+from .plans.model import ModelError
 from .plans.native import NativeQuery
 from .sources import index
 
@@ -38,6 +43,8 @@ class Engine:
         self.spark, self.cubes, self.plugins = spark, {}, list(plugins)
         self.history: deque[tuple] = deque(maxlen=HISTORY)
         self.roots: dict[str, str] = {}
+        self.edges: dict[str, Edges] = {}
+        self.tag: str | None = None
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         dates.register(spark)
         for p in self.plugins:
@@ -48,11 +55,25 @@ class Engine:
     # --- cubes
 
     def add(self, cube: Cube) -> Cube:
-        self.cubes[self.qualified(cube.name)] = cube
-        cube.flat().createOrReplaceTempView(cube.name.split(".")[-1])
+        """Registers a cube, and its flat view under the last part of its name. Two databases' cubes of
+        one name can't share a view, so the second is refused."""
+        name, view = self.qualified(cube.name), cube.name.split(".")[-1]
+        if any(q != name and q.split(".")[-1] == view for q in self.cubes):
+            raise ModelError(f"another cube has the view '{view}'")
+        self.cubes[name], self.edges[name] = cube, Edges(cube)
+        cube.flat().createOrReplaceTempView(view)
         self._views()
         return cube
 
+    def drop(self, name: str) -> None:
+        """Forgets a cube and its view; its copies and roll-ups stay where they are."""
+        q = self.qualified(name)
+        self.cube(name)
+        del self.cubes[q], self.edges[q]
+        self.roots.pop(q, None)
+        self.spark.catalog.dropTempView(q.split(".")[-1])
+        self._views()
+
     def qualified(self, name: str) -> str:
         return name if "." in name else f"{self.spark.catalog.currentDatabase()}.{name}"
 
@@ -72,8 +93,12 @@ class Engine:
     # --- SQL
 
     def sql(self, text: str) -> DataFrame:
-        """Commands first, then plug-ins, then Spark's own SQL."""
+        """Commands first, then plug-ins, then Spark's own SQL, without the star joins that the result
+        doesn't need: those of a cube's view and those that the text writes over a cube's tables."""
         began = time.perf_counter()
+        if self.tag is not None:  # a tag is of one statement
+            self.spark.removeTag(self.tag)
+            self.tag = None
         kind, out = self._command(text)
         if out is None:
             for p in self.plugins:
@@ -84,10 +109,14 @@ class Engine:
             for p in self.plugins:
                 if hasattr(p, "rewrites"):
                     text = p.rewrites(text)
-            out = self.spark.sql(text)
+            out = self.accelerated(self.spark.sql(text))
         self._remember(kind, text, began)
         return out
 
+    def accelerated(self, df: DataFrame) -> DataFrame:
+        """``df`` without star joins of any cube that give it nothing."""
+        return eliminate(df, self.edges.values())
+
     def _remember(self, kind: str, text: str, began: float) -> None:
         self.history.append((datetime.now(timezone.utc).replace(tzinfo=None), kind, text.strip(), (time.perf_counter() - began) * 1000))
         self._view("cube_queries", list(self.history), "started timestamp_ntz, kind string, query string, planning_ms double")
@@ -98,13 +127,32 @@ class Engine:
             return "clear", self.spark.createDataFrame([(m[1] or "all",)], "cleared string")
         if m := EXECUTE.match(text):
             q = NativeQuery.parse(m[2])
-            if tag := q.context.get("queryId"):
-                self.spark.addTag(re.sub(r"\W", "_", str(tag)))
-            return "native", self.cube(m[1]).native(q)
+            return "native", self._native(self.cube(m[1]), q)
         if m := EXPLAIN.match(text):
             return "explain", self.explain_rewrite(m[1])
         return "sql", None
 
+    def _native(self, cube: Cube, q: NativeQuery) -> DataFrame:
+        """A native query under its context: ``queryId`` names it for ``cancel`` until the next statement
+        of this engine, ``timeout`` (milliseconds from now) cancels it, ``maxResults`` fails it."""
+        known = {"queryId", "timeout", "maxResults", "priority", "useCache", "populateCache", "bySegment", "finalize", "chunkPeriod", "skipEmptyBuckets"}
+        if unknown := sorted(set(q.context) - known):
+            raise ValueError(f"unknown query context: {', '.join(unknown)}")
+        if q.context.get("bySegment"):
+            raise Unsupported("results by segment can't be given: rows of all partitions are one result")
+        timeout = q.context.get("timeout")
+        if "queryId" in q.context or timeout:
+            self.tag = re.sub(r"\W", "_", str(q.context.get("queryId") or f"native-{uuid.uuid4().hex}"))
+            self.spark.addTag(self.tag)
+        if "priority" in q.context:  # a pool of the fair scheduler, if the session has one
+            self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"priority-{q.context['priority']}")
+        if timeout:
+            timer = threading.Timer(float(timeout) / 1000, self.spark.interruptTag, [self.tag])
+            timer.daemon = True
+            timer.start()
+        out = cube.native(q)
+        return out if q.context.get("maxResults") is None else cube.guarded(out, int(q.context["maxResults"]))
+
     def cancel(self, query_id: str) -> None:
         self.spark.interruptTag(re.sub(r"\W", "_", query_id))
 
@@ -121,7 +169,8 @@ class Engine:
 
     def explain_rewrite(self, text: str) -> DataFrame:
         """plan: Spark's formatted plan; then, for each cube the text names, the cost of each way."""
-        q = self.spark.sql(text)._jdf.queryExecution()
+        df = self.accelerated(self.spark.sql(text))
+        q = df._jdf.queryExecution()
         mode = self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
         rows = [("plan", None, None, None, q.explainString(mode))]
         for name, c in self.cubes.items():

@@ -139,7 +139,10 @@ def test_joins_go_only_where_keys_are_intact(spark, sf):
 def test_cube_guards_and_sets(spark, sf):
     cube = star(spark, sf)
     cube.options = Options(max_result_rows=2)
-    assert cube.query(["l_returnflag"], [Measure("n", "count")]).count() == 2
+    with pytest.raises(Exception, match="more than 2 result rows"):
+        cube.query(["l_returnflag"], [Measure("n", "count")]).collect()
+    assert len(cube.query(["l_linestatus"], [Measure("n", "count")]).collect()) == 2
+    assert cube.query(["l_returnflag"], [Measure("n", "count")], limit=2).count() == 2
     with pytest.raises(ModelError, match="unknown dimensions"):
         cube.query(["nothing"])
     with pytest.raises(ModelError, match="time column"):
