@@ -11,8 +11,10 @@ over votes, kind and size is trained on that. Base spans stay whatever it says;
 that it gives ``least`` or more.
 
 Positions come from the gaps between matches (``split``) and the matches (``regexp_extract_all``),
-whose lengths are summed in blocks, so a text with n matches takes about n steps, and patterns are
-written so that they never rescan a run of characters. ``let`` binds a value to a lambda's variable,
+whose lengths are summed in blocks, so positions of n matches take about n steps (n * n / 8192 more for
+blocks); patterns are written so that they never rescan a run of characters. What overlaps is found by
+binary search in the matches of each pattern, which are sorted and disjoint. ``redact`` cuts bytes, not
+characters, whose positions would have to be counted from the beginning. ``let`` binds a value to a lambda's variable,
 so it is computed once.
 
 Scale. All row work is a narrow map over whole texts. What is aggregated and collected are counts of
@@ -64,8 +66,8 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<start,end,match,before>> of a pattern's matches."""
+def _matches(text: Column, pattern: str, length: Callable[[Column], Column]) -> Column:
+    """array<struct<start,end,match,before>> of a pattern's matches; positions are counted by ``length``."""
 
     def of(m: Column, gaps: Column) -> Column:
         def at(sizes: Column) -> Column:
@@ -76,14 +78,14 @@ def _matches(text: Column, pattern: str) -> Column:
             def struct(sums: Column) -> Column:
                 def one(x: Column, i: Column) -> Column:
                     b = (i / BLOCK).cast("int")
-                    start = F.get(sums, b) + total(F.slice(sizes, b * BLOCK + 1, i - b * BLOCK)) + F.length(F.get(gaps, i))
-                    return F.struct(start.alias("start"), (start + F.length(x)).alias("end"), x.alias("match"), F.substring(F.get(gaps, i), -24, 24).alias("before"))
+                    start = F.get(sums, b) + total(F.slice(sizes, b * BLOCK + 1, i - b * BLOCK)) + length(F.get(gaps, i))
+                    return F.struct(start.alias("start"), (start + length(x)).alias("end"), x.alias("match"), F.substring(F.get(gaps, i), -24, 24).alias("before"))
 
                 return F.transform(m, one)
 
             return let(before, struct)
 
-        return let(F.transform(m, lambda x, i: F.length(x) + F.length(F.get(gaps, i))), at)
+        return let(F.transform(m, lambda x, i: length(x) + length(F.get(gaps, i))), at)
 
     found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, let(F.split(text, pattern, -1), lambda g: of(m, g))))
     return F.coalesce(found, _none("array<struct<start:int,end:int,match:string,before:string>>"))
@@ -134,38 +136,56 @@ def _votes(kind: int, base: Column, match: Column, before: Column) -> list[Colum
     ]
 
 
-def _candidates_of(text: Column, kind: int, pattern: str, loose: bool) -> Column:
+def _candidates_of(text: Column, kind: int, pattern: str, loose: bool, length: Callable[[Column], Column]) -> Column:
     def one(x: Column) -> Column:
         base = F.lit(False) if loose else _passes(kind, x["match"])
 
         def struct(b: Column) -> Column:
             n = F.length(x["match"])
             return F.struct(
-                x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), b.alias("base"),
+                x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), b.alias("base"), F.lit(int(loose)).alias("loose"),
                 *_votes(kind, b, x["match"], x["before"]), F.when(n < 12, 0).when(n < 20, 1).otherwise(2).alias("size"),
             )
 
         return let(base, struct)
 
-    return F.transform(_matches(text, pattern), one)
+    return F.transform(_matches(text, pattern, length), one)
 
 
-SPAN = "struct<start:int,kind:int,end:int,base:boolean,form:int,listed:int,context:int,shape:int,size:int>"
+SPAN = "struct<start:int,kind:int,end:int,base:boolean,loose:int,form:int,listed:int,context:int,shape:int,size:int>"
 
 
-def candidates(text: Column) -> Column:
+def _meets(found: Column, start: Column, end: Column) -> Column:
+    """Whether a span from ``start`` to ``end`` overlaps one of ``found``, which are sorted and disjoint: the
+    first of them that ends after ``start`` is the only one to look at."""
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = ((s["lo"] + s["hi"]) / 2).cast("int")
+        after = F.get(found, middle)["end"] > start
+        open_ = s["lo"] < s["hi"]
+        return F.struct(F.when(open_ & ~after, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & after, middle).otherwise(s["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(found) + F.lit(1))).cast("int"))
+    first = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(found).alias("hi")), halve, lambda s: s["lo"])
+    return (F.size(found) > 0) & F.coalesce(F.get(found, first)["start"] < end, F.lit(False))
+
+
+def candidates(text: Column, length: Callable[[Column], Column] = F.length) -> Column:
     """array<SPAN> by start, then kind: base spans, failed matches and looser forms."""
     none = _none(f"array<{SPAN}>")
-    strict = [F.when(F.rlike(text, F.lit(HINTS[k])), _candidates_of(text, k, p, False)).otherwise(none) for k, p in enumerate(PATTERNS)]
+    strict = [F.when(F.rlike(text, F.lit(HINTS[k])), _candidates_of(text, k, p, False, length)).otherwise(none) for k, p in enumerate(PATTERNS)]
     loose = [
-        F.when(F.rlike(text, F.lit(r"[\[(]at[\])]")), _candidates_of(text, 0, LOOSE_EMAIL, True)).otherwise(none),
-        F.when(F.rlike(text, F.lit(r"[0-9]{2}\)?[ .-][0-9]{3}")), _candidates_of(text, 3, LOOSE_PHONE, True)).otherwise(none),
+        F.when(F.rlike(text, F.lit(r"[\[(]at[\])]")), _candidates_of(text, 0, LOOSE_EMAIL, True, length)).otherwise(none),
+        F.when(F.rlike(text, F.lit(r"[0-9]{2}\)?[ .-][0-9]{3}")), _candidates_of(text, 3, LOOSE_PHONE, True, length)).otherwise(none),
     ]
 
     def joined(a: Column) -> Column:
-        base = F.filter(a, lambda x: x["base"])
-        free = lambda b: lambda x: ~F.exists(b, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-        return let(base, lambda b: F.concat(b, F.filter(a, lambda x: ~x["base"] & free(b)(x)), F.filter(F.concat(*loose), free(b))))
+        def free(base: Column) -> Column:
+            by_kind = F.transform(F.sequence(F.lit(0), F.lit(len(KINDS) - 1)), lambda k: F.filter(base, lambda x: x["kind"] == k))
+            apart = lambda lists: lambda x: ~F.exists(lists, lambda b: _meets(b, x["start"], x["end"]))
+            return let(by_kind, lambda lists: F.concat(base, F.filter(a, lambda x: ~x["base"] & apart(lists)(x)), F.filter(F.concat(*loose), apart(lists))))
+
+        return let(F.filter(a, lambda x: x["base"]), free)
 
     return F.array_sort(let(F.concat(*strict), joined))
 
@@ -239,15 +259,27 @@ def redact(df: DataFrame, text: str = "text", least: float = 0.9) -> DataFrame:
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
     whole = F.col(text)
 
-    def cut_out(spans: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    def cut_out(spans: Column, raw: Column) -> Column:
+        """The bytes between runs of overlapping spans, and each run's first kind. A run begins where no
+        span that began before ends later, and ends where no span that ends later began before."""
+        lists = F.transform(F.sequence(F.lit(0), F.lit(2 * len(KINDS) - 1)), lambda k: F.filter(spans, lambda x: (x["kind"] * 2 + x["loose"]) == k))
+
+        def pieces(by: Column) -> Column:
+            inside = lambda at: F.exists(by, lambda b: _meets(b, at, at))
+            # two spans may begin or end at one place: the first, by kind, names the run
+            begins = F.filter(spans, lambda x, i: ~inside(x["start"]) & ((i == 0) | (F.get(spans, i - 1)["start"] != x["start"])))
+            ends = F.array_sort(F.array_distinct(F.transform(F.filter(spans, lambda x: ~inside(x["end"])), lambda x: x["end"])))
+
+            def written(b: Column, e: Column) -> Column:
+                before = lambda i: F.when(i == 0, 0).otherwise(F.get(e, i - 1))
+                part = lambda x, i: F.concat(F.substring(raw, before(i) + 1, x["start"] - before(i)).cast("string"), F.element_at(names, x["kind"] + 1))
+                last = F.substring(raw, F.element_at(e, -1) + 1, F.lit(2**31 - 1)).cast("string")
+                return F.concat(F.array_join(F.transform(b, part), ""), last)
 
-        def step(a: Column, x: Column) -> Column:
-            gap = F.substring(whole, a["at"] + 1, x["start"] - a["at"])
-            added = F.when(x["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], gap, F.element_at(names, x["kind"] + 1)))
-            return F.struct(F.greatest(a["at"], x["end"]).alias("at"), added.alias("out"))
+            return let(begins, lambda b: let(ends, lambda e: written(b, e)))
 
-        return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(whole, a["at"] + 1, F.lit(2**31 - 1))))
+        return let(lists, pieces)
 
-    chosen = let(F.filter(candidates(whole), lambda x: votes.accepts(x, least)), lambda s: F.when(F.size(s) > 0, cut_out(s)).otherwise(whole))
+    found = F.filter(candidates(whole, F.octet_length), lambda x: votes.accepts(x, least))
+    chosen = let(found, lambda s: F.when(F.size(s) > 0, let(F.encode(whole, "utf-8"), lambda raw: cut_out(s, raw))).otherwise(whole))
     return df.withColumn(text, chosen)
