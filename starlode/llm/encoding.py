@@ -5,7 +5,10 @@ Both read a ``tokenizers`` JSON file whose path is a parameter; results equal th
 
 * A byte pair that occurs inside no token of the vocabulary marks a certain cut: no merge can join
   its two bytes, so merging left and right of it is independent (``ForcedBoundaryEncoder``).
-* Texts are first cut at blanks, whose pieces repeat so often that a bounded memo saves most work.
+* With word ends, texts are first cut at blanks, whose pieces repeat so often that a bounded memo
+  saves most work.
+* In a byte-level vocabulary a blank before anything but white space begins a piece, so stretches of
+  words that tiktoken and the library read alike are encoded by the former, the others one by one.
 """
 
 from __future__ import annotations
@@ -14,17 +17,20 @@ import json
 import re
 from array import array
 from collections.abc import Callable, Iterable
+from itertools import groupby
 
 import regex
 import tiktoken
 from tokenizers import Tokenizer
 
+from .common import held
+
 GENERATION = 150_000
 #: Characters up to U+00FF: here Python, tiktoken and tokenizers agree on classes and case.
 GPT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORD_PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+""")
 ODD_BLANKS = "\x1c\x1d\x1e\x1f"
-TWO_BLANKS = re.compile(r"\s \s")
+BEFORE_WORD = re.compile(r"(?= \S)")
 
 
 class Memo(dict):
@@ -168,44 +174,37 @@ class ForcedBoundaryEncoder:
 
 
 class BlankBoundaryEncoder:
-    """For byte-level vocabularies: a blank begins a piece unless white space stands on both sides
-    of the cut before it, so texts without such places are encoded word by word."""
+    """For byte-level vocabularies. A blank before anything but white space begins a piece: the pattern
+    leaves the last blank of a run to what follows. Texts that are not plain are cut there."""
 
-    def __init__(self, path: str, generation: int = GENERATION):
+    def __init__(self, path: str, generation: int = 20_000):
         self.vocabulary = Vocabulary(path)
-        self.memo = Memo(self.word, generation)
+        self.memo = Memo(self.other, generation)
 
-    def word(self, word: str) -> bytes:
-        """The ids of a Latin word and the blank before it."""
-        if word.isalpha():
-            return array("I", self.vocabulary.bpe.encode_single_piece(b" " + word.encode())).tobytes()
-        if word[:-1].isalpha() and word[-1] in ",.!?;:":
-            return self.memo[word[:-1]] + array("I", self.vocabulary.bpe.encode_single_piece(word[-1].encode())).tobytes()
-        return self.whole(" " + word)
-
-    def whole(self, text: str) -> bytes:
-        if is_latin(text) and not any(c in text for c in ODD_BLANKS):
-            return array("I", self.vocabulary.bpe.encode_ordinary(text)).tobytes()
+    def is_plain(self, text: str) -> bool:
+        """Whether tiktoken and the library agree on the classes of all its characters."""
+        return is_latin(text) and not any(c in text for c in ODD_BLANKS)
+
+    def plain(self, text: str) -> bytes:
+        return self.vocabulary.bpe.encode_to_tiktoken_buffer(text, set())
+
+    def other(self, text: str) -> bytes:
         return array("I", self.vocabulary.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
+        """The ids of a whole text, four bytes each."""
         out = []
         for part, special in self.vocabulary.parts(text or ""):
             if special is not None:
                 out.append(special.to_bytes(4, "little"))
-            elif not is_latin(part) or any(c in part for c in ODD_BLANKS) or TWO_BLANKS.search(part):
-                out.append(self.whole(part))
+            elif self.is_plain(part):
+                out.append(self.plain(part))
             else:
-                first, *words = part.split(" ")
-                out += self.whole(first), self.memo.all(words)
+                for same, words in groupby(BEFORE_WORD.split(part), self.is_plain):
+                    out.append(self.plain("".join(words)) if same else self.memo.all(words))
         return b"".join(out)
 
 
-_made: dict[tuple, object] = {}
-
-
 def encoder(kind: type, path: str):
-    """One encoder per Python worker and file."""
-    if (kind, path) not in _made:
-        _made[kind, path] = kind(path)
-    return _made[kind, path]
+    """The encoder of a file, kept by the Python worker."""
+    return held((kind.__name__, path), lambda: kind(path))

@@ -8,9 +8,10 @@ best fit on those counts and gets *placements*: pieces a..b of length l go to se
 offset o. Executors number the pieces within each length and look their placement up. The result
 is that of one global best-fit-decreasing pass over all pieces, at any size.
 
-Scale. Tokenising is a narrow map. A number within a length is a number within (length, cell),
-cells being hashes of the key, plus the counts of the cells before: no task takes all pieces of a
-frequent length. Placements number at most 3 x capacity runs times the pieces in a sequence, in
+Scale. Tokenising is a narrow map; a text is held by one task with its ids. The pieces are written
+once, so each has a place (file and position); cells are hashes of places. A number within a length is a
+number within (length, cell) plus the counts of the cells before: no task takes all pieces of a
+frequent length, nor all copies of a row. Placements number at most 3 x capacity runs times the pieces in a sequence, in
 practice a few thousand, and travel with the task.
 
 Defined results: null texts count as empty and have just the end token; ids of documents are
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, slices
+from .common import batched, cut, slices
 from .encoding import BlankBoundaryEncoder, encoder
 
 CELL_ROWS = 20_000
@@ -127,7 +128,7 @@ def tokenize(df: DataFrame, tokenizer: str, end: int, capacity: int, key: str, t
                     start, stop, piece = stop, stop + capacity, piece + 1
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int64()) for c in columns)], names=schema.names)
 
-    return df.select(df[key], df[text].cast("string")).mapInArrow(run, schema)
+    return batched(df.select(df[key], df[text].cast("string"))).mapInArrow(run, schema)
 
 
 def pack(pieces: DataFrame, capacity: int, length: str = "length", cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -136,13 +137,15 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length", cell_rows: in
     columns = [F.col(f"`{c}`") for c in pieces.columns if c not in ("sequence_id", "offset")]
     known = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     cells = max(1, -(-pieces.count() // cell_rows))
-    with_cell = pieces.select(*columns, F.pmod(F.xxhash64(*columns), F.lit(cells)).alias("__cell"))
+    # the place of a written piece, by partition and position: the same each time it is read
+    placed = pieces.select(*columns, F.monotonically_increasing_id().alias("__place"))
+    with_cell = placed.withColumn("__cell", F.pmod(F.xxhash64("__place"), F.lit(cells)))
     per_cell = cut(with_cell.groupBy(F.col(length).alias("__length"), "__cell").agg(F.count("*").alias("__n")))
     counts = {r[0]: r[1] for r in per_cell.groupBy("__length").agg(F.sum("__n")).collect()}  # at most `capacity` rows
     placements = best_fit(counts, capacity)
     before = Window.partitionBy("__length").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_cell.select("__length", "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("__length", "__cell").orderBy(*columns)
+    within = Window.partitionBy("__length", "__cell").orderBy("__place")
     ranked = (
         with_cell.withColumn("__length", F.col(length))
         .join(offsets, ["__length", "__cell"])
