@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..plans.elimination import kind
 from ..plans.interval import Interval, bucket
 from ..plans.model import Dependencies, FunctionalDependency, ModelError, Role, StarSchema, infer_roles
-from ..plans.native import Compiler, NativeQuery
+from ..plans.native import Compiler, NativeQuery, answers
 from ..plans.rewrite import derive, grain_divides, interval_aligned
 from ..sources.index import Metric, Rollup, build_rollup, prune
 
@@ -210,12 +211,29 @@ class Cube:
         return numbered.where(fits).drop("__row")
 
     def native(self, query: str | Mapping | NativeQuery) -> DataFrame:
+        """A JSON query's result: from the first roll-up that determines it, else from the star."""
         q = query if isinstance(query, NativeQuery) else NativeQuery.parse(query)
+        for r in self.rollups:
+            if answers(r, q, self.time_col):
+                return self.guarded(Compiler(r.read(self.spark), self.time_col, self.axes, r).compile(q))
         text = q.to_json()
         used = [c for c in self.columns if f'"{c}"' in text or re.search(rf"\b{re.escape(c)}\b", text)]
         whole = q.kind in ("segmentMetadata", "select") and not (q.dimensions or q.metrics) or q.kind == "search" and not q.search_dimensions
         used += [a for p, axes in self.axes.items() if p in text for a in axes]
-        return Compiler(self.rows(None if whole else used), self.time_col, self.axes).compile(q)
+        return self.guarded(Compiler(self.rows(None if whole else used), self.time_col, self.axes).compile(q))
+
+    def pages(self, query: str | Mapping | NativeQuery) -> Iterable[DataFrame]:
+        """The pages of a select query, until one is empty. Each begins at the last row of the one before
+        (a filter, not an offset that grows) and skips the rows equal to it that were given already."""
+        spec = json.loads((query if isinstance(query, NativeQuery) else NativeQuery.parse(query)).to_json())
+        while page := (df := self.native(spec)).collect():
+            yield self.spark.createDataFrame(page, df.schema)
+            last = page[-1]
+            same = next((i for i, row in enumerate(reversed(page)) if row != last), len(page))
+            after = {k: v if v is None or isinstance(v, (bool, int, float, str)) else str(v) for k, v in last.asDict().items()}
+            if same == len(page) and spec["pagingSpec"].get("after") == after:
+                same += spec["pagingSpec"]["skip"]
+            spec["pagingSpec"] = spec["pagingSpec"] | {"pagingIdentifiers": {}, "after": after, "skip": same}
 
     # --- facts about it
 

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.extraction import Unsupported, extract
 from ..functions.spatial import Box
+from ..sources.index import Rollup, prune
 from .interval import Interval, bucket
+from .rewrite import derive, grain_divides, interval_aligned
 
 TIME = "__time"
 KINDS = ("groupBy", "timeseries", "topN", "search", "select", "timeBoundary", "segmentMetadata")
@@ -64,6 +66,7 @@ class NativeQuery:
     paging: dict | None = None
     context: dict = field(default_factory=dict)
     source: str | None = None
+    include: list[str] | None = None
 
     @staticmethod
     def parse(text: str | Mapping) -> NativeQuery:
@@ -80,6 +83,7 @@ class NativeQuery:
             kind, dims, spec.get("granularity", "all"), spec.get("filter"), spec.get("aggregations") or [], spec.get("postAggregations") or [], spec.get("having"), spec.get("limitSpec"),
             [intervals] if isinstance(intervals, str) else list(intervals), segments, spec.get("metric"), spec.get("threshold") or spec.get("limit"), spec.get("metrics") or [],
             spec.get("searchDimensions") or [], spec.get("query"), spec.get("sort"), bool(spec.get("descending")), spec.get("pagingSpec"), spec.get("context") or {}, spec.get("dataSource"),
+            spec["toInclude"].get("columns") if (spec.get("toInclude") or {}).get("type") == "list" else None,
         )
 
     def to_json(self) -> str:
@@ -91,15 +95,81 @@ class NativeQuery:
             out["limit" if self.kind == "search" else "threshold"] = self.threshold
         if self.descending:
             out["descending"] = True
+        if self.include is not None:
+            out["toInclude"] = {"type": "list", "columns": self.include}
         out["intervals"] = {"type": "segments", "segments": [{"itvl": s} for s in self.segments]} if self.segments else self.intervals
         return json.dumps(out)
 
 
+#: ISO periods and the roll-up grains they are.
+PERIODS = {"PT1M": "minute", "PT1H": "hour", "P1D": "day", "P1W": "week", "P1M": "month", "P3M": "quarter", "P1Y": "year"}
+
+
+def named_grain(granularity: Any) -> str | None:
+    """The roll-up grain that a granularity is, None if it is none of them (or has a zone or origin)."""
+    if granularity in (None, "all") or isinstance(granularity, str):
+        return granularity or "all"
+    if granularity.get("type") == "period" and not granularity.get("origin") and granularity.get("timeZone") in (None, "UTC", "Etc/UTC"):
+        return PERIODS.get(granularity.get("period"))
+    return None
+
+
+def answers(r: Rollup, q: NativeQuery, time_col: str) -> bool:
+    """Whether a roll-up determines a query's answer: plain dimensions and filters are its, buckets and
+    intervals fit, aggregations can be derived."""
+    if q.kind not in ("groupBy", "timeseries", "topN") or not q.aggregations or (grain := named_grain(q.granularity)) is None:
+        return False
+    intervals = [Interval.parse(s) for s in [*q.intervals, *q.segments]]
+    if not grain_divides(r.grain, grain) or not all(interval_aligned(r, i) for i in intervals or [None]):
+        return False
+
+    def columns(spec: Any) -> set[str]:
+        if isinstance(spec, list):
+            return set().union(*map(columns, spec))
+        return ({spec["dimension"]} if "dimension" in spec else set()).union(*map(columns, (v for v in spec.values() if isinstance(v, (list, dict))))) if isinstance(spec, dict) else set()
+
+    used = {d if isinstance(d, str) else d["dimension"] for d in q.dimensions} | columns(q.filter or {})
+    return used <= set(r.dims) and all(_derived(r, a) is not None for a in q.aggregations)
+
+
+def _derived(r: Rollup, spec: Mapping) -> Column | None:
+    if spec["type"] == "count":
+        return derive(r, "count", None)
+    m = re.fullmatch(r"(long|double)(Sum|Min|Max)", spec["type"])
+    c = derive(r, m[2].lower(), spec["fieldName"]) if m else None
+    return None if c is None else c.cast("bigint" if m[1] == "long" else "double")
+
+
+def natural(c: Column) -> Column:
+    """A sort key for text with numbers in it: runs of digits by value, everything else as it is. Each run
+    is written without leading zeros after its length in three digits, so longer numbers come later."""
+    parts = F.regexp_extract_all(c.cast("string"), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    number = lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")
+    key = lambda x: F.when(F.rlike(x, F.lit("^[0-9]")), F.concat(F.lit("0"), F.lpad(F.length(number(x)).cast("string"), 3, "0"), number(x))).otherwise(F.concat(F.lit("1"), x))
+    return F.transform(parts, key)
+
+
+def from_row(df: DataFrame, names: Sequence[str], last: Mapping[str, Any], descending: bool) -> Column:
+    """What doesn't come before a page's last row in the order of ``names`` (nulls first, the first name
+    descending if asked): a filter, so later pages don't sort what earlier ones gave."""
+    out = F.lit(True)
+    for name in reversed(names):
+        c, v = F.col(f"`{name}`"), F.lit(last[name]).cast(df.schema[name].dataType)
+        down = descending and name == names[0]
+        if last[name] is None:
+            later = F.lit(False) if down else c.isNotNull()
+        else:
+            later = (c < v) | c.isNull() if down else c > v
+        out = F.coalesce(later, F.lit(False)) | (c.eqNullSafe(v) & out)
+    return out
+
+
 class Compiler:
-    """Compiles native queries over one flat DataFrame. ``axes``: the columns of each point."""
+    """Compiles native queries over one flat DataFrame. ``axes``: the columns of each point. ``rollup``: what
+    ``df`` is the contents of, if its metrics are to be merged."""
 
-    def __init__(self, df: DataFrame, time_col: str, axes: Mapping[str, Sequence[str]] | None = None):
-        self.df, self.time, self.axes = df, time_col, axes or {}
+    def __init__(self, df: DataFrame, time_col: str, axes: Mapping[str, Sequence[str]] | None = None, rollup: Rollup | None = None):
+        self.df, self.time, self.axes, self.rollup = df, time_col, axes or {}, rollup
 
     def col(self, name: str) -> Column:
         if name == TIME:
@@ -168,6 +238,8 @@ class Compiler:
 
     def _function(self, spec: Mapping, where: Column | None) -> Column:
         kind = spec["type"]
+        if self.rollup is not None:
+            return _derived(self.rollup, spec)
         only = (lambda c: c) if where is None else (lambda c: F.when(where, c))
         if kind == "count":
             return F.count(only(F.lit(1)))
@@ -217,6 +289,8 @@ class Compiler:
         out = self.df
         intervals = [Interval.parse(s) for s in [*q.intervals, *q.segments]]
         if intervals:
+            starts, ends = [i.start for i in intervals], [i.end for i in intervals]
+            out = prune(out, Interval(None if None in starts else min(starts), None if None in ends else max(ends)))
             out = out.where(reduce(Column.__or__, (i.holds(self.col(TIME)) for i in intervals)))
         return out if q.filter is None else out.where(self.filter(q.filter))
 
@@ -263,7 +337,7 @@ class Compiler:
         if isinstance(metric, Mapping) and metric["type"] in ("lexicographic", "alphaNumeric"):
             column, down = F.col(f"`{name}`"), not down
             if metric["type"] == "alphaNumeric":
-                column = column.try_cast("double")
+                column = natural(column)
         else:
             column = F.col(f"`{metric if isinstance(metric, str) else metric['metric']}`")
         order = [column.desc() if down else column.asc(), F.col(f"`{name}`").asc()]
@@ -295,7 +369,10 @@ class Compiler:
         out = self.rows(q).select(self.col(TIME).alias("timestamp"), *(c.alias(n) for n, c in names if n != TIME))
         if q.paging and q.paging.get("threshold"):
             at = max([0, *(int(v) + 1 for v in (q.paging.get("pagingIdentifiers") or {}).values())])
-            order = [F.col("timestamp").desc() if q.descending else F.col("timestamp"), *(F.col(f"`{c}`") for c in out.columns if c != "timestamp")]
+            others = [c for c in out.columns if c != "timestamp"]
+            if after := q.paging.get("after"):
+                out, at = out.where(from_row(out, ["timestamp", *others], after, q.descending)), int(q.paging.get("skip", 0))
+            order = [F.col("timestamp").desc() if q.descending else F.col("timestamp"), *(F.col(f"`{c}`") for c in others)]
             out = out.orderBy(*order).offset(at).limit(int(q.paging["threshold"]))
         return out
 
@@ -303,7 +380,10 @@ class Compiler:
         return self.rows(q).agg(F.min(self.col(TIME)).alias("minTime"), F.max(self.col(TIME)).alias("maxTime"))
 
     def _segmentmetadata(self, q: NativeQuery) -> DataFrame:
-        """column, type, cardinality (estimated) and nulls of each column, in one pass."""
+        """column, type, cardinality (estimated) and nulls of each column (``toInclude``: of those listed), in
+        one pass."""
         rows, fields = self.rows(q), [f for f in self.df.schema if f.dataType.typeName() not in ("array", "map", "struct", "binary")]
+        if q.include is not None:
+            fields = [f for f in fields if f.name in q.include]
         parts = [F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.approx_count_distinct(f"`{f.name}`").alias("cardinality"), F.count_if(F.col(f"`{f.name}`").isNull()).alias("nulls")) for f in fields]
         return rows.agg(F.array(*parts).alias("a")).select(F.inline("a"))

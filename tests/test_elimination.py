@@ -40,7 +40,7 @@ CASES = [
     ("select count(*) as n from lineitem join (select o_custkey as o_orderkey from orders) o on l_orderkey = o_orderkey", 1),
     ("select count(*) as n from lineitem join orders on l_orderkey = o_orderkey and l_shipdate > o_orderdate + interval 60 day", 1),
     ("select count(*) as n from lineitem join (select o_orderkey from orders limit 10) o on l_orderkey = o_orderkey", 1),
-    ("select count(*) as n from (select c_custkey, o_orderkey as k from customer left join orders on c_custkey = o_custkey) x join orders o on x.k = o.o_orderkey", 2),
+    ("select count(*) as n from (select c_custkey, o_orderkey as k from customer left join orders on c_custkey = o_custkey) x join orders o on x.k = o.o_orderkey", 1),
     ("select count(*) as n from orders left semi join lineitem on o_orderkey = l_orderkey", 1),
 ]
 
