@@ -22,8 +22,9 @@ radii from 0 to 5 are accepted.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; rows with a
 null id keep it, and their component is the smallest non-null id reachable (null if there is none);
-repeated rows are returned as often as they occur; an empty table gives an empty result; other
-columns are ignored.
+repeated rows are returned as often as they occur (``deduplicate`` keeps one); a very long text is held
+by one task beside its shingles' hashes; an empty table gives an empty result; other columns are ignored,
+whatever their names (``deduplicate`` keeps them).
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +43,6 @@ from .common import batched, cut, slices
 from .graphs import connected_components
 
 SEED = 42
-POPCOUNT = np.array([bin(i).count("1") for i in range(65536)], dtype=np.uint8)
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
@@ -59,8 +59,8 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def distance(x: np.ndarray, y: np.uint64) -> np.ndarray:
-    return POPCOUNT[(x ^ y).view(np.uint16).reshape(-1, 4)].sum(axis=1)
+def distance(x: np.ndarray, y: np.ndarray | np.uint64) -> np.ndarray:
+    return np.bitwise_count(x ^ y)
 
 
 def masks(radius: int) -> list[tuple[int, list[int]]]:
@@ -125,7 +125,7 @@ def links(prints: DataFrame, column: str, radius: int) -> DataFrame:
                 a += x
                 b += y
             two = starts[sizes == 2]
-            near = POPCOUNT[(members[two] ^ members[two + 1]).view(np.uint16).reshape(-1, 4)].sum(axis=1) <= radius if len(two) else np.empty(0, bool)
+            near = distance(members[two], members[two + 1]) <= radius if len(two) else np.empty(0, bool)
             x, y = members[two][near], members[two + 1][near]
             ends = [np.concatenate([np.array(p, dtype=np.uint64), q]).view(np.int64) for p, q in ((a, x), (b, y))]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(*ends)), pa.array(np.maximum(*ends))], names=["a", "b"])
@@ -187,23 +187,32 @@ def keep_least(df: DataFrame, docs: DataFrame, named: DataFrame, key: str, text:
     named = cut(named)
     kept = named.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias(key)).distinct()
     out = df.join(kept, key, "left_semi").select(*df.columns)
-    repeated = docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
-    others = [F.xxhash64(*(c for c in df.columns if c != key)), F.col(text)]
+    repeated = docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    others = F.struct(F.xxhash64(*(c for c in df.columns if c != key)), F.col(text))
+    row, mark, whole = (unused(df, n) for n in ("print", "root", "row"))
+    # the first row of a group as a minimum: each task gives one, so that a frequent id isn't held by one
+    first = F.min_by(F.struct(*df.columns), others).alias(whole)
     if not repeated.isEmpty():
-        first = Window.partitionBy(key).orderBy(*others)
-        out = out.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") == 1).drop("__rank")
+        repeated = cut(repeated)
+        again = out.join(repeated, key, "left_semi").groupBy(key).agg(first).select(f"{whole}.*")
+        out = out.join(repeated, key, "left_anti").select(*df.columns).unionByName(again)
     nameless = named.where(F.col("component_id").isNull()).select("print", "root")
     if nameless.isEmpty():
         return out
-    names, at = [*df.columns, "__print"], df.columns.index(text)
+    names, at = [*df.columns, row], df.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in slices(batches):
             prints = np.array([of(x.as_py()) for x in b.column(at)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints.view(np.int64))], names=names)
 
-    schema = T.StructType([*df.schema, T.StructField("__print", T.LongType())])
-    roots = nameless.select(F.col("print").alias("__print"), F.col("root").alias("__root"))
-    alone = batched(df.where(F.col(key).isNull())).mapInArrow(run, schema).join(roots, "__print")
-    first = Window.partitionBy("__root").orderBy(*others)
-    return out.unionByName(alone.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") == 1).select(*df.columns))
+    schema = T.StructType([*df.schema, T.StructField(row, T.LongType())])
+    roots = nameless.select(F.col("print").alias(row), F.col("root").alias(mark))
+    alone = batched(df.where(F.col(key).isNull())).mapInArrow(run, schema).join(roots, row)
+    return out.unionByName(alone.groupBy(mark).agg(first).select(f"{whole}.*"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name = f"_{name}"
+    return name

@@ -92,3 +92,34 @@ def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(70)] + [(200, i) for i in range(201, 260)] + [(300, 301), (301, 300), (400, 400), (None, 5), (-3, -9)]
     got = {r.id: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(71)} | {i: 200 for i in range(200, 260)} | {300: 300, 301: 300, -3: -9, -9: -9}
+
+
+def test_a_variant_with_many_members(spark):
+    """100,000 fingerprints that share all bits but the 22 masked ones meet in one run."""
+    rng = np.random.default_rng(6)
+    members = np.unique(rng.integers(0, 1 << 22, 100_000, dtype=np.uint64))[:40_000]
+    a, b = simhash.run_links(members, 3)
+    roots = {int(x): int(x) for x in members}
+
+    def find(x):
+        while roots[x] != x:
+            roots[x] = roots[roots[x]]
+            x = roots[x]
+        return x
+
+    for x, y in zip(a, b):
+        assert bin(x ^ y).count("1") <= 3
+        roots[find(x)] = find(y)
+    known = set(members.tolist())
+    for x in members[:300].tolist():
+        for i in range(22):
+            if (y := x ^ 1 << i) in known:
+                assert find(x) == find(y)
+
+
+def test_many_rows_of_one_id_and_clashing_names(spark):
+    rows = [(1, "same words in all of these rows", i % 3, "p", "r", "w") for i in range(5000)] + [(None, "no id here at all", 7, "p", "r", "w")] * 3 + [(2, "other words that stand alone", 1, "p", "r", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int, print string, root string, row string").repartition(7)
+    got = simhash.deduplicate(df)
+    assert got.columns == df.columns and sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, "no id here at all"), (1, "same words in all of these rows"), (2, "other words that stand alone")]
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, simhash.deduplicate(df.repartition(3)).collect()))
