@@ -3,8 +3,8 @@
 A word's input joins a word vector (trained; words frequent enough in the sample) and a vector of
 its hashed runs of four characters. A window of ``WINDOW`` words goes through gated recurrent units in
 both directions; attention pools their states, and a linear layer gives the window's logit. All
-overlapping windows (each starts ``STRIDE`` words after the one before; the last ends with the text)
-are scored, and the highest counts for the text. Training, in numpy with hand-written gradients,
+overlapping windows, one from each word on that has ``WINDOW`` words, are scored, and the highest
+counts for the text. Training, in numpy with hand-written gradients,
 alternates between finding each document's highest windows and stepping on them. The first
 coordinate of both vectors starts as a statistic of how much more often toxic documents hold the
 word or run. The score is calibrated on sample documents that weren't trained on, weighted so
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import Shared, batched, crc_remainder, slices
 
-WINDOW, STRIDE = 16, 12
+WINDOW = 16
 UNITS, WORD, CHARS, BUCKETS = 8, 6, 4, 1 << 16
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|/\\-_=+~`"
 
@@ -45,10 +45,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def starts(n: int) -> list[int]:
     """Where the windows of a text of n words begin."""
-    if n <= WINDOW:
-        return [0]
-    out = list(range(0, n - WINDOW + 1, STRIDE))
-    return out if out[-1] == n - WINDOW else [*out, n - WINDOW]
+    return list(range(max(1, n - WINDOW + 1)))
 
 
 def grams(words: Sequence[str], length: int) -> np.ndarray:
@@ -185,29 +182,68 @@ class Network:
         g["words"][0] = 0
         return g, loss
 
+    def sweep(self, numbers: np.ndarray) -> np.ndarray:
+        """Logits of the windows from every word of a row of words on. Neighbours share their words' gates,
+        so a step of all windows reads one slice; only each state's attention and output are kept."""
+        u, n = UNITS, len(numbers) - WINDOW + 1
+        # a row per unit: numpy's inner loops then run along the windows
+        gates, pad, out = np.ascontiguousarray(self.gates[numbers].T), numbers == 0, np.empty(n, np.float32)
+        sides = []
+        for side, first in (("f", 0), ("b", 1)):
+            g, rec = gates[3 * u * first : 3 * u * (first + 1)], self.p[f"rec_{side}"].T.copy()
+            g[: 2 * u] *= 0.5  # the logistic function is half a tanh of half the argument
+            rec[: 2 * u] *= 0.5
+            ends = np.stack([self.p["attend"], self.p["out"]])[:, first * u : (first + 1) * u]
+            sides.append((g, rec[: 2 * u].copy(), rec[2 * u :].copy(), ends, range(WINDOW) if side == "f" else range(WINDOW - 1, -1, -1)))
+        for at in range(0, n, 4096):
+            m = min(4096, n - at)
+            told = np.zeros((WINDOW, 2, m), gates.dtype)
+            zr, c = np.empty((2 * u, m), gates.dtype), np.empty((u, m), gates.dtype)
+            for g, rec_zr, rec_c, ends, steps in sides:
+                h = np.zeros((u, m), gates.dtype)
+                for t in steps:
+                    own = g[:, at + t : at + t + m]
+                    np.matmul(rec_zr, h, out=zr)
+                    zr += own[: 2 * u]
+                    np.tanh(zr, out=zr)
+                    zr *= 0.5
+                    zr += 0.5
+                    zr[u:] *= h
+                    np.matmul(rec_c, zr[u:], out=c)
+                    c += own[2 * u :]
+                    np.tanh(c, out=c)
+                    c -= h
+                    c *= zr[:u]
+                    h += c
+                    told[t] += ends @ h
+            score = told[:, 0]
+            if pad[at : at + m + WINDOW - 1].any():
+                score = np.where(np.stack([pad[at + t : at + t + m] for t in range(WINDOW)]), -1e4, score)
+            a = np.exp(score - score.max(axis=0))
+            out[at : at + m] = (a * told[:, 1]).sum(axis=0) / a.sum(axis=0) + self.p["bias"][0]
+        return out
+
     def logits(self, texts: Sequence[str | None], best: int = 1) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Each text's highest logit, and where its ``best`` highest windows begin."""
+        """Each text's highest logit, and where its ``best`` highest windows that don't overlap begin."""
         words = [(t or "").lower().split() for t in texts]
-        numbers, gates = self.numbers(words), self.gates
-        high, where = np.full(len(texts), -np.inf), []
-        begins = [np.array(starts(len(w))) for w in words]
-        offsets = np.cumsum([0, *(max(len(w), WINDOW) for w in words)])
+        sizes = [max(len(w), WINDOW) for w in words]
+        offsets = np.cumsum([0, *sizes])
         flat = np.zeros(offsets[-1], np.int64)
-        for at, n in zip(offsets, numbers):
-            flat[at : at + len(n)] = n
-        every = np.concatenate([at + b for at, b in zip(offsets, begins)]) if texts else np.empty(0, int)
-        scores = np.empty(len(every))
-        for b in range(0, len(every), 2048):
-            at = every[b : b + 2048]
-            index = flat[at[None, :] + np.arange(WINDOW)[:, None]]
-            mask = index > 0
-            scores[b : b + 2048] = self.run(gates[index], None if mask.all() else mask)
-        at = 0
-        for i, b in enumerate(begins):
-            own = scores[at : at + len(b)]
-            at += len(b)
+        for at, own in zip(offsets, self.numbers(words)):
+            flat[at : at + len(own)] = own
+        every, high, where = self.sweep(flat) if texts else None, np.empty(len(texts)), []
+        for i, (at, n) in enumerate(zip(offsets, sizes)):
+            own = every[at : at + n - WINDOW + 1]
             high[i] = own.max()
-            where.append(b[np.argsort(-own, kind="stable")[:best]])
+            if best == 1:
+                where.append(own.argmax(keepdims=True))
+                continue
+            left, found = own.copy(), []
+            while len(found) < best and left.max() > -np.inf:
+                k = int(left.argmax())
+                found.append(k)
+                left[max(0, k - WINDOW + 1) : k + WINDOW] = -np.inf
+            where.append(np.array(found))
         return high, where
 
     def score(self, texts: Sequence[str | None]) -> np.ndarray:
