@@ -6,21 +6,22 @@ import json
 import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.elimination import kind
+from ..plans.elimination import items, kind
 from ..plans.interval import Interval, bucket
 from ..plans.model import Dependencies, FunctionalDependency, ModelError, Role, StarSchema, infer_roles
 from ..plans.native import Compiler, NativeQuery, answers
-from ..plans.rewrite import derive, grain_divides, interval_aligned
+from ..plans.rewrite import derive, grain_divides, interval_aligned, whole_buckets
 from ..sources.index import Metric, Rollup, build_rollup, prune
 
 
 @dataclass(frozen=True)
 class Measure:
-    """kind: count, sum, min, max, avg, distinct (exact), approx_distinct. expr: SQL over the cube's
+    """kind: count, sum, min, max, avg, distinct (exact), approx_distinct, theta_distinct (by a theta sketch). expr: SQL over the cube's
     columns; None counts rows. where: SQL that filters what is aggregated."""
 
     name: str
@@ -32,7 +33,7 @@ class Measure:
         c = F.expr(self.expr) if self.expr is not None else F.lit(1)
         if self.where is not None:
             c = F.when(F.expr(self.where), c)
-        how = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg, "distinct": F.countDistinct, "approx_distinct": F.approx_count_distinct}
+        how = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg, "distinct": F.countDistinct, "approx_distinct": F.approx_count_distinct, "theta_distinct": lambda c: F.theta_sketch_estimate(F.theta_sketch_agg(c))}
         if self.kind not in how:
             raise ModelError(f"unknown measure kind '{self.kind}'")
         return how[self.kind](c)
@@ -147,6 +148,8 @@ class Cube:
                 add(m.kind, m.expr)
             if m.kind == "approx_distinct":
                 add("hll", m.expr)
+            if m.kind == "theta_distinct":
+                add("theta", m.expr)
         needed = {c for m in measures for c in _names(m.expr, self.columns)} | set(dims)
         r = build_rollup(self.rows(needed), path, self.time_col, grain, dims, list(metrics.values()), interval)
         self.rollups.append(r)
@@ -155,13 +158,20 @@ class Cube:
     def answer_from(self, dims: Sequence[str], measures: Sequence[Measure], where: str | None, interval: Interval | None, grain: str | None) -> Rollup | None:
         """A roll-up that determines the answer: all dimensions and filtered columns are its, buckets
         fit, and each measure can be derived."""
+        if where is not None and not self._deterministic(where):
+            return None
         for r in self.rollups:
             if set(dims) <= set(r.dims) and _names(where, self.columns) <= set(r.dims) and grain_divides(r.grain, grain) and interval_aligned(r, interval):
-                if all(m.where is None and derive(r, m.kind, m.expr) is not None for m in measures if self.options.use_sketches or m.kind != "approx_distinct"):
-                    if self.options.use_sketches or all(m.kind != "approx_distinct" for m in measures):
+                if all(m.where is None and derive(r, m.kind, m.expr) is not None for m in measures):
+                    if self.options.use_sketches or all(m.kind not in ("approx_distinct", "theta_distinct") for m in measures):
                         return r
         return None
 
+    def _deterministic(self, where: str) -> bool:
+        """Whether a filter says the same of a roll-up's row as of each of its rows, by its analysed form."""
+        plan = self.rows(_names(where, self.columns)).where(where)._jdf.queryExecution().analyzed()
+        return all(e.deterministic() for e in items(plan.expressions()))
+
     def query(
         self, dims: Sequence[str] = (), measures: Sequence[Measure] = (), *, where: str | None = None, interval: Interval | None = None, grain: str | None = None, having: str | None = None,
         order: Sequence[str] = (), limit: int | None = None, sets: Sequence[Sequence[str]] | None = None, rollups: bool = True,
@@ -201,6 +211,22 @@ class Cube:
             out = out.limit(limit)
         return self.guarded(out)
 
+    def query_with_rest(self, dims: Sequence[str], measures: Sequence[Measure], interval: Interval, where: str | None = None) -> DataFrame:
+        """``query`` over an interval that a roll-up covers in part: its whole buckets come from there, what is
+        before and after from the rows. Counts, sums, minima and maxima, which can be put together."""
+        if any(m.kind not in ("count", "sum", "min", "max") for m in measures):
+            raise ModelError("only counts, sums, minima and maxima can be put together of parts")
+        parts = []
+        for r in self.rollups:
+            inner = whole_buckets(r, interval)
+            if not inner.empty and self.answer_from(dims, measures, where, inner, None) is not None:
+                parts = [i for i in (Interval(interval.start, inner.start), inner, Interval(inner.end, interval.end)) if not i.empty]
+                break
+        found = [self.query(dims, measures, where=where, interval=i) for i in parts or [interval]]
+        together = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+        every = reduce(DataFrame.unionByName, found).groupBy(*dims)
+        return self.guarded(every.agg(*(together[m.kind](m.name).alias(m.name) for m in measures)))
+
     def guarded(self, out: DataFrame, most: int | None = None) -> DataFrame:
         """``out``, which fails when it runs if it has more than ``most`` (``max_result_rows``) rows."""
         if (most := self.options.max_result_rows if most is None else most) is None:

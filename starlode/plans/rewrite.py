@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +59,17 @@ def interval_aligned(r: Rollup, interval: Interval | None) -> bool:
     return True
 
 
+def whole_buckets(r: Rollup, interval: Interval) -> Interval:
+    """The part of an interval that a monthly roll-up's whole months make up; empty for other grains."""
+    both = interval if r.interval is None else interval.overlap(r.interval)
+    if r.grain != "month" or both.start is None or both.end is None or both.empty:
+        return Interval(interval.start, interval.start)
+    first = both.start.replace(day=1, hour=0, minute=0, second=0, microsecond=0)
+    if first < both.start:
+        first = (first + timedelta(days=32)).replace(day=1)
+    return Interval(first, max(first, both.end.replace(day=1, hour=0, minute=0, second=0, microsecond=0)))
+
+
 def derive(r: Rollup, kind: str, expr: str | None) -> Column | None:
     """The aggregate from the roll-up's metrics, or None if these don't determine it."""
     if kind == "count" and expr is None:
@@ -76,6 +88,8 @@ def derive(r: Rollup, kind: str, expr: str | None) -> Column | None:
         if m := r.metric("theta", expr):
             return F.theta_sketch_estimate(m.merge())
         return F.approx_count_distinct(expr) if expr in r.dims else None
+    if kind == "theta_distinct":
+        return F.theta_sketch_estimate(m.merge()) if (m := r.metric("theta", expr)) else None
     if kind == "distinct":
         return F.countDistinct(expr) if expr in r.dims else None
     return None

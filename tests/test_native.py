@@ -97,3 +97,29 @@ def test_context(spark, sf):
     for wrong in ('{"nothing": 1}', '{"bySegment": true}'):
         with pytest.raises(ValueError):
             ask(wrong)
+
+
+def test_filters_that_are_not_the_same_twice_ask_the_rows(rolled):
+    assert rolled.answer_from(["cn_name"], [Measure("n", "count")], "l_returnflag = 'R'", None, None)
+    assert not rolled.answer_from(["cn_name"], [Measure("n", "count")], "l_returnflag = 'R' and rand() < 0.5", None, None)
+
+
+def test_a_part_comes_from_the_rollup(spark, sf, rolled):
+    """Whole months from the roll-up, the days around them from the rows."""
+    from starlode.plans.interval import Interval
+
+    interval, measures = Interval.parse("1996-01-10/1999-05-20"), [Measure("n", "count"), Measure("lo", "min", "l_tax")]
+    got = rolled.query_with_rest(["cn_name"], measures, interval)
+    assert any(rolled.rollups[0].path in f for f in got.inputFiles()) and any("lineitem" in f for f in got.inputFiles())
+    assert rounded(got) == rounded(star(spark, sf).query(["cn_name"], measures, interval=interval))
+    short = Interval.parse("1996-01-10/1996-01-20")
+    assert not any(rolled.rollups[0].path in f for f in rolled.query_with_rest(["cn_name"], measures, short).inputFiles())
+
+
+def test_theta_rollup(spark, sf, tmp_path):
+    cube = star(spark, sf)
+    d = [Measure("d", "theta_distinct", "l_orderkey")]
+    cube.add_rollup(str(tmp_path / "t"), "month", ["l_returnflag"], d)
+    assert cube.answer_from(["l_returnflag"], d, None, None, None)
+    exact = {r[0]: r[1] for r in cube.query(["l_returnflag"], [Measure("d", "distinct", "l_orderkey")]).collect()}
+    assert all(abs(r.d - exact[r.l_returnflag]) <= 0.1 * exact[r.l_returnflag] for r in cube.query(["l_returnflag"], d).collect())
