@@ -6,8 +6,9 @@ digests of known licence texts: a whole text is that licence or it isn't. The kn
 ``len(TABLE)`` rows, a bound that doesn't depend on the input, so it is broadcast; documents are
 neither shuffled nor grouped. All steps are SQL functions; ``oracle_sql`` has the same in DuckDB.
 
-Defined results: a null text counts as empty; an empty canonical form matches nothing; null and
-repeated ids are kept; other columns are ignored.
+Defined results: a null text counts as empty; an empty canonical form matches nothing; of known texts
+with equal digests the licence that sorts first counts; null and repeated ids are kept; a very long text is
+held by one task; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-COPYRIGHT = r"(^|\n)[ \t#*/;-]*(copyright|\(c\)|\x{a9}|all rights reserved)[^\n]*"
+#: A copyright notice: the word with a sign, a year, "by" or a place-holder after it, or a sign with a year.
+#: A line of a text that merely begins with the word ("copyright notice and ...") isn't one.
+COPYRIGHT = r"(^|\n)[ \t#*/;-]*(copyright[ \t:]*(\(c\)|\x{a9}|[0-9]{4}|by[ \t]|\[|<)|\(c\)[ \t]*(copyright|[0-9]{4})|\x{a9}|all rights reserved[ \t.]*(\n|$))[^\n]*"
 BREAKS = r"[^a-z0-9\x{80}-\x{10ffff}]+"
 #: Each a whole word between blanks, applied in this order after BREAKS.
 EQUIVALENT = (

@@ -38,3 +38,48 @@ def test_whole_texts_are_found(spark):
         rows += [(10 * i, text, name), (10 * i + 1, "Copyright 2021 Someone\n\n" + text.upper().replace("\n", "\r\n"), name), (10 * i + 2, text + " and more", None)]
     got = {r.doc_id: r.license for r in licences.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id int, text string")).collect()}
     assert got == {i: name for i, _, name in rows}
+
+
+def test_wrapping_does_not_hide_a_licence(spark):
+    """No line of a licence is taken for a notice, however it is wrapped."""
+    import textwrap
+
+    rows, n = [], 0
+    for name, text in licences.TABLE:
+        parts = [p for p in text.split("\n\n") if "copyright (c)" not in p.lower() and "copyright [" not in p.lower() and "copyright <" not in p.lower() and "copyright 20" not in p.lower() and "copyright 19" not in p.lower() and "\u00a9" not in p]
+        whole = "\n\n".join(parts)
+        rows.append((n, whole, n))
+        for width in range(60, 101, 5):
+            rows.append((n, "\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in parts), n))
+        n += 1
+    got = licences.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id int, text string"))
+    assert got.groupBy("doc_id").agg(F.countDistinct("digest").alias("d")).where("d > 1").count() == 0
+
+
+def test_notices_go_and_texts_that_begin_with_the_word_stay(spark):
+    base = "copyright notice and this permission notice\n(c) you must retain\ncopyright holders be liable\n"
+    forms = [base, "Copyright (c) 1999 X\n" + base, "# Copyright: 2001-2004 X\n" + base + "All rights reserved.\n", "(C) 2020 me\n" + base, "\u00a9 Me\n" + base, "Copyright by Me\n" + base, "Copyright [yyyy] [name]\n" + base]
+    got = licences.scan(spark.createDataFrame([(1, x) for x in forms], "doc_id int, text string")).select("digest").distinct()
+    assert got.count() == 1
+
+
+def test_whole_licences_in_a_table_of_other_documents(spark, sf):
+    """The planted ones are found, and no other document, as a plain lookup says."""
+    import re
+    from string import ascii_lowercase, ascii_uppercase
+
+    def plain(text):
+        x = re.sub(licences.COPYRIGHT.replace("\\x{a9}", "\u00a9"), "\n", (text or "").translate(str.maketrans(ascii_uppercase, ascii_lowercase)))
+        x = " " + re.sub("[^a-z0-9\x80-\U0010ffff]+", " ", x) + " "
+        for a, b in licences.EQUIVALENT:
+            x = x.replace(f" {a} ", f" {b} ")
+        return x.strip(" ")
+
+    known = {}
+    for name, text in licences.TABLE:
+        known[plain(text)] = min(name, known.get(plain(text), name))
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    docs += [(100_000 + i, f"Copyright (c) {1990 + i} Someone\n\n{re.sub(chr(92) + 'bLicense' + chr(92) + 'b', 'Licence', t)}\n") for i, (_, t) in enumerate(licences.TABLE)]
+    got = {r.doc_id: r.license for r in licences.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: known.get(plain(t)) for i, t in docs}
+    assert sum(v is not None for v in got.values()) >= len(licences.TABLE)
