@@ -1,8 +1,8 @@
 """Operator 2: interleaved document sequences with media columns.
 
 ``parse`` turns HTML into an ordered sequence of structs: text blocks and media references, each
-with its position; a reference has the digest it names and its caption (the figure's caption, else
-the alternative text). ``store`` writes payloads as lossless 8-bit greyscale PNG images of 64
+with its position; a reference has its source, the digest that this names (null if it names none,
+as an ordinary address does) and its caption (the figure's caption, else the alternative text). ``store`` writes payloads as lossless 8-bit greyscale PNG images of 64
 samples a row into a content-addressed table, named by the payload's SHA-256. ``resolve`` joins
 references to stored media by digest; positions and captions stay aligned, as a sequence is taken
 apart into rows that carry their position.
@@ -15,8 +15,9 @@ that both sides of the join are dealt for it alone and Spark may split a digest'
 
 Defined results: null texts are empty, empty payloads are 64 zero bytes; null html is an empty
 sequence; references to unknown digests stay, with null media columns; unclosed and unknown tags are
-tolerated, and scripts, styles and comments are no text; null and repeated ids are kept; other
-columns are ignored; an empty table gives an empty result.
+tolerated, and scripts, styles and comments are no text; null and repeated ids are kept; a
+very long text is held by one task with its image; other columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ from .common import batched, cut, written
 
 WIDTH = 64
 PNG = b"\x89PNG\r\n\x1a\n"
-ITEM = "struct<position:int,kind:string,text:string,digest:string,caption:string>"
-DIGEST = re.compile(r"(?:^|[:/])([0-9a-f]{64})(?:\.\w+)?$")
+ITEM = "struct<position:int,kind:string,text:string,digest:string,caption:string,source:string>"
+DIGEST = re.compile(r"(?:^|[:/])([0-9a-f]{64})(?:\.\w+)?$", re.I)
 BLOCKS = frozenset("p div br h1 h2 h3 h4 h5 h6 li ul ol table tr td th section article header footer nav blockquote pre hr title main aside".split())
 SILENT = frozenset(("script", "style", "template", "noscript"))
 MEDIA = frozenset(("img", "video", "audio", "source", "embed"))
@@ -110,7 +111,7 @@ class _Sequence(HTMLParser):
         text = " ".join("".join(self.text).split())
         self.text = []
         if text:
-            self.items.append({"position": len(self.items), "kind": "text", "text": text, "digest": None, "caption": None})
+            self.items.append({"position": len(self.items), "kind": "text", "text": text, "digest": None, "caption": None, "source": None})
 
     def handle_starttag(self, tag, attrs):
         if tag in SILENT:
@@ -123,11 +124,12 @@ class _Sequence(HTMLParser):
             self.caption = []
         elif tag in MEDIA:
             a = dict(attrs)
-            if found := DIGEST.search(a.get("src") or a.get("data-digest") or ""):
+            found = DIGEST.search(a.get("data-digest") or "") or DIGEST.search(a.get("src") or "")
+            if a.get("src") or found:  # a video whose sources are tags of their own has none itself
                 self.flush()
                 if self.figure is not None:
                     self.figure.append(len(self.items))
-                self.items.append({"position": len(self.items), "kind": "media", "text": None, "digest": found[1], "caption": a.get("alt") or None})
+                self.items.append({"position": len(self.items), "kind": "media", "text": None, "digest": found and found[1].lower(), "caption": a.get("alt") or None, "source": a.get("src") or None})
         elif tag in BLOCKS:
             self.flush()
 
@@ -164,7 +166,7 @@ def sequence(html: str | None) -> list[dict]:
 
 def parse(df: DataFrame, key: str, html: str = "html") -> DataFrame:
     """key and ``items``, the ordered sequence of ``ITEM`` structs of each row's HTML."""
-    kind = pa.list_(pa.struct([("position", pa.int32()), *((c, pa.string()) for c in ("kind", "text", "digest", "caption"))]))
+    kind = pa.list_(pa.struct([("position", pa.int32()), *((c, pa.string()) for c in ("kind", "text", "digest", "caption", "source"))]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
@@ -174,9 +176,9 @@ def parse(df: DataFrame, key: str, html: str = "html") -> DataFrame:
 
 
 def references(parsed: DataFrame, key: str) -> DataFrame:
-    """One row per media reference: key, position, digest, caption."""
+    """One row per media reference: key, position, digest, caption, source."""
     items = parsed.select(key, F.explode(F.filter("items", lambda x: x["kind"] == "media")).alias("item"))
-    return items.select(key, "item.position", "item.digest", "item.caption")
+    return items.select(key, "item.position", "item.digest", "item.caption", "item.source")
 
 
 def store(df: DataFrame, text: str = "text", name: str = "media") -> DataFrame:
@@ -199,8 +201,7 @@ def store(df: DataFrame, text: str = "text", name: str = "media") -> DataFrame:
                 # a text and the same with zero bytes after it share a payload, not their length
                 if (mark := d[:16] + len(raw).to_bytes(8, "little")) in seen:
                     continue
-                if len(seen) < 1_000_000:
-                    seen.add(mark)
+                seen.add(mark)
                 digests.append(d.hex())
                 sizes.append(len(raw))
                 media.append(to_png(data))

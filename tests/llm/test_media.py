@@ -85,15 +85,21 @@ def test_sequences_keep_order_positions_and_captions(spark):
     <p>middle<img src="media:{b}" alt="two"><p>end &amp; more<img src="other.png"><figure><figcaption>only text</figcaption></figure><img data-digest="{a}">"""
     items = media.sequence(html)
     assert [x["position"] for x in items] == list(range(len(items)))
-    assert [(x["kind"], x["text"] or x["digest"], x["caption"]) for x in items] == [
-        ("text", "Title", None), ("text", "lead bold", None), ("media", a, "Cap one"), ("text", "middle", None), ("media", b, "two"), ("text", "end & more", None), ("text", "only text", None), ("media", a, None),
+    assert [(x["kind"], x["text"] or x["digest"] or x["source"], x["caption"]) for x in items] == [
+        ("text", "Title", None), ("text", "lead bold", None), ("media", a, "Cap one"), ("text", "middle", None), ("media", b, "two"), ("text", "end & more", None), ("media", "other.png", None), ("text", "only text", None), ("media", a, None),
     ]
     assert media.sequence(None) == [] and media.sequence("<p></p>") == []
     df = spark.createDataFrame([(1, html), (2, None), (1, "<img src='media:" + "c" * 64 + "'>")], "page_id long, html string")
     refs = media.references(media.parse(df, "page_id"), "page_id").withColumn("n_bytes", F.lit(9))
     known = spark.createDataFrame([(a, 5, bytes(3)), (b, 6, None)], "digest string, n_bytes long, media binary")
-    got = sorted((r.page_id, r.position, r.digest[0], r.caption, r.n_bytes) for r in media.resolve(refs, known).collect())
-    assert got == [(1, 0, "c", None, None), (1, 2, "a", "Cap one", 5), (1, 4, "b", "two", 6), (1, 7, "a", None, 5)]
+    got = sorted((r.page_id, r.position, (r.digest or r.source)[0], r.caption, r.n_bytes) for r in media.resolve(refs, known).collect())
+    assert got == [(1, 0, "c", None, None), (1, 2, "a", "Cap one", 5), (1, 4, "b", "two", 6), (1, 6, "o", None, None), (1, 8, "a", None, 5)]
+
+
+def test_ordinary_sources_keep_their_place_and_caption():
+    html = '<p>a<figure><video><source src="https://x.org/v.mp4"></video><figcaption>film</figcaption></figure><img src="data:image/png;base64,AA" alt="dot">b<img src="/' + "AB" * 32 + '.JPG">'
+    got = [(x["position"], x["kind"], x["text"] or x["source"], x["digest"], x["caption"]) for x in media.sequence(html)]
+    assert got == [(0, "text", "a", None, None), (1, "media", "https://x.org/v.mp4", None, "film"), (2, "media", "data:image/png;base64,AA", None, "dot"), (3, "text", "b", None, None), (4, "media", "/" + "AB" * 32 + ".JPG", "ab" * 32, None)]
 
 
 def test_pages_parse(spark, sf):
