@@ -104,3 +104,62 @@ def test_nothing_to_learn_from(spark):
     assert [(r.lang_pred, r.score) for r in langid.identify(df, model).collect()] == [("und", 0.0)] * 2
     empty = df.limit(0)
     assert langid.identify(empty, langid.fit(empty, PIECES)).count() == 0
+
+
+def test_query_equals_a_plain_version(spark, sf):
+    """Predictions and scores of the query, from the model's probabilities, summed letter by letter."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs, PIECES)
+    known = {p: i for i, p in enumerate(model.lexicon.pieces)}
+
+    def word(w, p):
+        w, ahead, log = langid.MARK + w, [1.0], 0.0
+        for end in range(1, len(w) + 1):
+            total = 0.0
+            for n in range(1, min(langid.LONGEST, end) + 1):
+                q = p[known[w[end - n : end]]] if w[end - n : end] in known else 0.0
+                total += ahead[end - n] * (max(q, langid.UNKNOWN) if n == 1 else q)
+            ahead.append(total)
+            if total < 1e-200:
+                ahead = [a * 1e200 for a in ahead]
+                log -= math.log(1e200)
+        return math.log(ahead[-1]) + log
+
+    got = {r.doc_id: r for r in op3_language(spark, sf).collect()}
+    checked = 0
+    for r in docs.orderBy("doc_id").collect():
+        words = ["".join(g) for g in "".join(c if c.isalpha() else " " for c in (r.text or "").lower()).split()]
+        if not words:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+        elif len(words) < 120:
+            sums = [sum(word(w, model.probability[:, k]) for w in words) for k in range(len(model.languages))]
+            best = max(range(len(sums)), key=lambda k: sums[k])
+            assert got[r.doc_id].lang_pred == model.languages[best]
+            assert got[r.doc_id].score == pytest.approx(1 / sum(math.exp(s - sums[best]) for s in sums), abs=1e-6)
+            checked += 1
+    assert checked > 20
+
+
+def test_a_rare_language_keeps_its_words(spark):
+    """One language has a thousandth of the other's words; each is learned from its own most frequent ones."""
+    rows = [(i, " ".join(f"{a}{b}lo" for a in "kmnptrs" for b in "aeiou"), "big") for i in range(3000)] + [(5000 + i, "zwyx qruv zwyx", "rare") for i in range(6)]
+    df = spark.createDataFrame(rows, DOCS)
+    model = langid.fit(df, PIECES, words=5)
+    assert model.languages == ["big", "rare"]
+    assert [r.lang_pred for r in langid.identify(df.where("doc_id = 5001"), model).collect()] == ["rare"]
+
+
+def test_sampling_and_letters():
+    share = lambda n: (langid.threshold(600, n) + 2**63 + 1) / 2**64
+    for n in (700, 10**6, 10**10, 10**15):
+        assert share(n) * n == pytest.approx(600, rel=1e-3)
+    assert langid.threshold(600, 600) == langid.threshold(600, 1) == 2**63 - 1
+    assert langid.letters("ab\u00bdc \u00b2 \u2167 d1e_f") == ["ab", "c", "d", "e", "f"]
+    model = langid.LanguageModel(["xx"], langid.Lexicon(["\u2581", "a"]), np.array([[0.5], [0.5], [0]]))
+    assert model.predict(["\u00bd \u00b2 \u2167", "a"]) == (["und", "xx"], [0.0, 1.0])
+
+
+def test_long_words_are_learned_from(spark):
+    df = spark.createDataFrame([(i, ("kalo" if i % 2 else "dubr") * 200, "xx" if i % 2 else "yy") for i in range(60)], DOCS)
+    got = langid.identify(df, langid.fit(df, PIECES)).collect()
+    assert all(r.lang_pred == ("xx" if r.doc_id % 2 else "yy") for r in got)
