@@ -8,7 +8,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.elimination import items, kind
@@ -73,6 +73,7 @@ class Cube:
         self.rollups: list[Rollup] = []
         self._intact: dict[str, bool] = {}
         self._sizes: dict[str, int | None] = {}
+        self.known: dict = {}  # what was counted, until the cache is cleared
 
     @staticmethod
     def over(spark: SparkSession, name: str, source: DataFrame, time_col: str, **more) -> Cube:
@@ -264,9 +265,19 @@ class Cube:
     # --- facts about it
 
     def distinct_counts(self, columns: Iterable[str]) -> dict[str, int]:
+        """Estimated numbers of values, counted once where each column lies: no join."""
         columns = list(columns)
-        row = self.rows(columns).agg(*(F.approx_count_distinct(c).alias(c) for c in columns)).first()
-        return {c: row[c] for c in columns}
+        for t in {self.star.owner(c) for c in columns if c not in self.known}:
+            own = [c for c in columns if c not in self.known and self.star.owner(c) == t]
+            self.known |= self.tables[t].agg(*(F.approx_count_distinct(c).alias(c) for c in own)).first().asDict()
+        return {c: self.known[c] for c in columns}
+
+    def extent(self) -> Row:
+        """n rows, their first and last time a and b, and m months of the fact, counted once."""
+        if "extent" not in self.known:
+            t = F.col(self.time_col)
+            self.known["extent"] = self.tables[self.star.fact].agg(F.count("*").alias("n"), F.min(t).alias("a"), F.max(t).alias("b"), F.countDistinct(F.date_trunc("month", t)).alias("m")).first()
+        return self.known["extent"]
 
     def estimate_cardinality(self, dims: Sequence[str], distinct: Mapping[str, int] | None = None) -> int:
         return self.dependencies.estimate(dims, distinct or self.distinct_counts(dims))

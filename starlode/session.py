@@ -12,21 +12,28 @@ from collections.abc import Callable, Iterable
 from datetime import datetime, timezone
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dates
 from .functions.extraction import Unsupported
-from .operators.cube import Cube
+from .operators.cube import Cube, Measure
 from .plans import cost
-from .plans.elimination import Edges, eliminate
-from .plans.model import ModelError
+from .plans.elimination import Edges, eliminate, grouped, sources
+from .plans.interval import Interval
+from .plans.model import FunctionalDependency, ModelError, StarSchema
 from .plans.native import NativeQuery
 from .sources import index
 
 HISTORY = 500
+QUERIES = "started timestamp_ntz, kind string, query string, planning_ms double, run_ms double, n_rows long"
 CLEAR = re.compile(r"\s*clear\s+(?:\w+\s+)?cache(?:\s+(\S+))?\s*;?\s*$", re.I)
 EXECUTE = re.compile(r"\s*on\s+(?:cube|\w*datasource)\s+(\S+)\s+(?:using\s+\w+\s+)?execute\s+(?:query\s+)?(\{.*\})\s*;?\s*$", re.I | re.S)
+CREATE = re.compile(r"\s*create\s+cube\s+(\S+)\s+on\s+(\S+)\s+options\s+(\{.*\})\s*;?\s*$", re.I | re.S)
+ROLLUP = re.compile(r"\s*create\s+rollup\s+on\s+cube\s+(\S+)\s+at\s+'([^']+)'\s+options\s+(\{.*\})\s*;?\s*$", re.I | re.S)
+INDEX = re.compile(r"\s*create\s+index\s+on\s+cube\s+(\S+)\s+at\s+'([^']+)'\s*;?\s*$", re.I)
+INSERT = re.compile(r"\s*insert\s+overwrite\s+index\s+on\s+cube\s+(\S+)\s+(select\b.*)$", re.I | re.S)
+DROP = re.compile(r"\s*drop\s+(cube|index\s+on\s+cube)\s+(\S+?)\s*;?\s*$", re.I)
 EXPLAIN = re.compile(r"\s*explain\s+(?:\w+\s+)?rewrite\s+(.+)$", re.I | re.S)
 
 
@@ -117,9 +124,17 @@ class Engine:
         """``df`` without star joins of any cube that give it nothing."""
         return eliminate(df, self.edges.values())
 
+    def run(self, text: str) -> list[Row]:
+        """A statement's rows; its running time and how many they are go into the history."""
+        df = self.sql(text)
+        rows, seconds = timed(df.collect)
+        self.history[-1] = (*self.history[-1][:4], seconds * 1000, len(rows))
+        self._view("cube_queries", list(self.history), QUERIES)
+        return rows
+
     def _remember(self, kind: str, text: str, began: float) -> None:
-        self.history.append((datetime.now(timezone.utc).replace(tzinfo=None), kind, text.strip(), (time.perf_counter() - began) * 1000))
-        self._view("cube_queries", list(self.history), "started timestamp_ntz, kind string, query string, planning_ms double")
+        self.history.append((datetime.now(timezone.utc).replace(tzinfo=None), kind, text.strip(), (time.perf_counter() - began) * 1000, None, None))
+        self._view("cube_queries", list(self.history), QUERIES)
 
     def _command(self, text: str) -> tuple[str, DataFrame | None]:
         if m := CLEAR.match(text):
@@ -128,10 +143,44 @@ class Engine:
         if m := EXECUTE.match(text):
             q = NativeQuery.parse(m[2])
             return "native", self._native(self.cube(m[1]), q)
+        done = lambda what, name: (what, self.spark.createDataFrame([(name,)], "cube string"))
+        if m := CREATE.match(text):
+            return done("create", self.add(self._cube_of(m[1], m[2], json.loads(m[3]))).name)
+        if m := ROLLUP.match(text):
+            o = json.loads(m[3])
+            measures = [Measure(x["name"], x["kind"], x.get("expr")) for x in o["measures"]]
+            self.cube(m[1]).add_rollup(m[2], o["grain"], o["dimensions"], measures, Interval.parse(o["interval"]) if "interval" in o else None)
+            self._views()
+            return done("rollup", m[1])
+        if m := INDEX.match(text):
+            self.index(m[1], m[2])
+            return done("index", m[1])
+        if m := INSERT.match(text):
+            index.insert_overwrite(self.accelerated(self.spark.sql(m[2])), self.roots[self.qualified(m[1])], self.cube(m[1]).time_col)
+            self._views()
+            return done("insert", m[1])
+        if m := DROP.match(text):
+            if m[1].lower() == "cube":
+                self.drop(m[2])
+            else:
+                index.drop(self.spark, self.roots.pop(self.qualified(m[2])))
+                self._views()
+            return done("drop", m[2])
         if m := EXPLAIN.match(text):
             return "explain", self.explain_rewrite(m[1])
         return "sql", None
 
+    def _cube_of(self, name: str, source: str, options: dict) -> Cube:
+        """A cube from a statement's options: timeColumn; starSchema (factTable, relations) or none for one
+        flat table; functionalDependencies of col1, col2 and type ("n-1" or "1-1"); maxResultRows."""
+        spec = options.get("starSchema") or {"factTable": source}
+        names = dict.fromkeys([spec["factTable"], *(t for r in spec.get("relations", ()) for t in (r["leftTable"], r["rightTable"]))])
+        tables = {t: self.spark.table(t) for t in names}
+        known = [FunctionalDependency(d["col1"], d["col2"], d.get("type") == "1-1") for d in options.get("functionalDependencies", ())]
+        cube = Cube(self.spark, name, tables, StarSchema.from_json(spec, tables), options["timeColumn"], dependencies=known)
+        cube.options.max_result_rows = options.get("maxResultRows")
+        return cube
+
     def _native(self, cube: Cube, q: NativeQuery) -> DataFrame:
         """A native query under its context: ``queryId`` names it for ``cancel`` until the next statement
         of this engine, ``timeout`` (milliseconds from now) cancels it, ``maxResults`` fails it."""
@@ -162,6 +211,7 @@ class Engine:
             if name in (None, q, q.split(".")[-1]):
                 c._intact.clear()
                 c._sizes.clear()
+                c.known.clear()
         if name is None:
             self.spark.catalog.clearCache()
         elif self.spark.catalog.tableExists(name):
@@ -173,11 +223,13 @@ class Engine:
         q = df._jdf.queryExecution()
         mode = self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
         rows = [("plan", None, None, None, q.explainString(mode))]
+        plan = q.optimizedPlan()
+        names = grouped(plan) or []
         for name, c in self.cubes.items():
-            if not re.search(rf"\b{re.escape(name.split('.')[-1])}\b", text):
+            if not sources(plan) & sources(c.tables[c.star.fact]._jdf.queryExecution().optimizedPlan()):
                 continue
-            dims = [d for d in c.columns if re.search(rf"group\s+by[^()]*\b{re.escape(d)}\b", text, re.I | re.S)]
-            edge = c.tables[c.star.fact].agg(F.count("*").alias("n"), F.min(c.time_col).alias("a"), F.max(c.time_col).alias("b"), F.countDistinct(F.date_trunc("month", c.time_col)).alias("m")).first()
+            dims = [d for d in c.columns if d in names]
+            edge = c.extent()
             groups = c.estimate_cardinality(dims) if dims else 1
             span = (edge["b"] - edge["a"]).total_seconds() * 1000 if edge["n"] else 0
             threads = self.spark.sparkContext.defaultParallelism
@@ -193,8 +245,10 @@ class Engine:
     def _views(self) -> None:
         relations = [(q, c.star.fact, c.time_col, json.dumps([[e.left, e.right] for e in c.star.edges]), len(c.rollups), c.options.max_result_rows) for q, c in self.cubes.items()]
         self._view("cube_relations", relations, "name string, fact string, time_column string, edges string, rollups int, max_result_rows int")
-        self._view("cube_servers", [(self.spark.sparkContext.master, self.spark.version, self.spark.sparkContext.defaultParallelism)], "server string, version string, threads int")
-        self._view("cube_queries", list(self.history), "started timestamp_ntz, kind string, query string, planning_ms double")
+        sc = self.spark.sparkContext
+        executors = [(f"{x.host()}:{x.port()}", self.spark.version, sc.defaultParallelism, x.numRunningTasks(), x.cacheSize()) for x in sc._jsc.sc().statusTracker().getExecutorInfos()]
+        self._view("cube_servers", executors, "server string, version string, threads int, running_tasks int, cached_bytes long")
+        self._view("cube_queries", list(self.history), QUERIES)
         parts = None
         for q, path in self.roots.items():
             own = index.segments(self.spark.read.parquet(path), self.cubes[q].time_col).select(F.lit(q).alias("cube"), "*")

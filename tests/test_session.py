@@ -75,3 +75,38 @@ def test_running_totals_stream(spark, sf, tmp_path):
     assert q.awaitTermination(120)
     got = {r.event_type: r.n for r in spark.table("totals").groupBy("event_type").agg(F.max("n").alias("n")).collect()}
     assert got == {r.event_type: r.n for r in events.groupBy("event_type").agg(F.count("*").alias("n")).collect()}
+
+
+def test_statements_make_and_drop_cubes(spark, sf, tmp_path):
+    from starlode.sources.tables import views
+
+    views(spark, sf)
+    e = Engine(spark)
+    e.sql("""create cube small on lineitem options {"timeColumn": "l_shipdate", "starSchema": {"factTable": "lineitem", "relations": [
+        {"leftTable": "lineitem", "rightTable": "orders", "relationType": "n-1", "joinCondition": [{"leftAttribute": "l_orderkey", "rightAttribute": "o_orderkey"}]}]},
+        "functionalDependencies": [{"col1": "o_orderkey", "col2": "o_custkey", "type": "n-1"}]}""")
+    n = spark.table("lineitem").count()
+    assert e.run("select count(*) as n from small")[0].n == n
+    e.sql(f"create rollup on cube small at '{tmp_path}/r' options " + '{"grain": "month", "dimensions": ["l_returnflag"], "measures": [{"name": "n", "kind": "count"}]}')
+    got = e.sql('on cube small execute query {"queryType": "groupBy", "dimensions": ["l_returnflag"], "aggregations": [{"type": "count", "name": "n"}], "intervals": []}')
+    assert any("/r/" in f for f in got.inputFiles()) and sum(r.n for r in got.collect()) == n
+    e.sql(f"create index on cube small at '{tmp_path}/i'")
+    assert e.sql("select sum(n_rows) as n from cube_segments").first().n == n
+    e.sql("insert overwrite index on cube small select * from small where l_shipdate >= timestamp'1996-03-01' and l_shipdate < timestamp'1996-04-01' and l_linenumber = 1")
+    gone = spark.sql("select count(*) as n from lineitem where l_shipdate >= timestamp'1996-03-01' and l_shipdate < timestamp'1996-04-01' and l_linenumber <> 1").first().n
+    assert e.sql("select sum(n_rows) as n from cube_segments").first().n == n - gone and gone
+    e.sql("drop index on cube small")
+    e.sql("drop cube small")
+    assert not e.cubes and e.sql("select * from cube_segments").count() == 0
+    row = e.sql("select * from cube_queries where query = 'select count(*) as n from small'").first()
+    assert row.n_rows == 1 and row.run_ms > 0
+    assert e.sql("select server from cube_servers").count() >= 1
+
+
+def test_explain_reads_the_plan(engine):
+    """Names in literals are no dimensions; counts are kept until the cache is cleared."""
+    c = engine.cube("sales")
+    rows = engine.sql("explain cube rewrite select 'group by c_name' as k, cn_name, count(*) from sales group by cn_name").where("kind = 'cost'").collect()
+    assert rows and set(c.known) == {"extent", "cn_name"}
+    engine.sql("clear cache")
+    assert not c.known
