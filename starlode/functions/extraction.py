@@ -8,10 +8,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-class Unsupported(ValueError):
-    """A native specification that needs an evaluator of arbitrary scripts."""
-
+from .script import Unsupported, of_text
 
 def extract(spec: Mapping | None, c: Column, time: Column | None = None) -> Column:
     """``c`` as ``spec`` extracts from it."""
@@ -37,4 +34,6 @@ def extract(spec: Mapping | None, c: Column, time: Column | None = None) -> Colu
             return F.lit(None).cast("string")
         found = F.create_map(*map(F.lit, chain.from_iterable(table.items())))[c.cast("string")]
         return F.coalesce(found, c.cast("string")) if spec.get("retainMissingValue") else found
+    if kind == "javascript":
+        return of_text(spec["function"], c)
     raise Unsupported(f"extraction function '{kind}' can't be evaluated here")

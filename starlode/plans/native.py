@@ -13,7 +13,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.extraction import Unsupported, extract
+from ..functions import script
+from ..functions.extraction import extract
+from ..functions.script import Unsupported
 from ..functions.spatial import Box
 from ..sources.index import Rollup, prune
 from .interval import Interval, bucket
@@ -26,7 +28,7 @@ _CLASSES = {
     "selector": "selector", "regexfilter": "regex", "stringcontains": "contains", "notfilter": "not", "extractionfilter": "extraction", "javascriptfilter": "javascript", "bound": "bound", "spatial": "spatial",
     "defaultdimension": "default", "extractiondimension": "extraction", "cardinality": "cardinality", "hyperuniqueaggregation": "hyperUnique", "javascriptaggregation": "javascript", "filteredaggregation": "filtered",
     "fieldaccess": "fieldAccess", "constant": "constant", "arithmetic": "arithmetic", "hyperuniquecardinality": "hyperUniqueCardinality", "numerictopn": "numeric", "lexiographictopn": "lexicographic", "alphanumerictopn": "alphaNumeric", "invertedtopn": "inverted",
-    "regexextraction": "regex", "partialextraction": "partial", "searchqueryextraction": "searchQuery", "timeformatextraction": "timeFormat", "timeparsingextraction": "time", "inextraction": "lookup", "durationgranularity": "duration", "periodgranularity": "period",
+    "javascriptextraction": "javascript", "javascriptpostaggregation": "javascript", "regexextraction": "regex", "partialextraction": "partial", "searchqueryextraction": "searchQuery", "timeformatextraction": "timeFormat", "timeparsingextraction": "time", "inextraction": "lookup", "durationgranularity": "duration", "periodgranularity": "period",
 }
 
 
@@ -208,10 +210,7 @@ class Compiler:
         if kind == "bound":
             return self._bound(spec, c)
         if kind == "javascript":
-            m = re.fullmatch(r"function\s*\((\w+)\)\s*\{\s*return\s*\(?\s*\1\s*(==|<=|>=|<|>)\s*'([^']*)'\s*\)?\s*;?\s*\}", spec["function"].strip())
-            if not m:
-                raise Unsupported("only comparisons with a text are understood as script filters")
-            return {"==": c.cast("string") == m[3], "<": c.cast("string") < m[3], "<=": c.cast("string") <= m[3], ">": c.cast("string") > m[3], ">=": c.cast("string") >= m[3]}[m[2]]
+            return script.holds(spec["function"], c)
         raise Unsupported(f"filter '{kind}' can't be evaluated here")
 
     def _bound(self, spec: Mapping, c: Column) -> Column:
@@ -251,14 +250,7 @@ class Compiler:
             c = only(self.col(spec["fieldName"]).cast("bigint" if m[1] == "long" else "double"))
             return {"Sum": F.sum, "Min": F.min, "Max": F.max}[m[2]](c)
         if kind == "javascript":
-            if re.search(r"return\s+current\s*\+\s*\(?\s*\w+(\s*[*+-]\s*\w+)*\s*\)?\s*;?\s*\}", spec.get("fnAggregate", "")):
-                body = re.search(r"return\s+current\s*\+\s*\(?\s*([\w\s*+-]+?)\s*\)?\s*;?\s*\}", spec["fnAggregate"])[1]
-                params = [p.strip() for p in re.search(r"function\s*\(([^)]*)\)", spec["fnAggregate"])[1].split(",")][1:]
-                for p, f in zip(params, spec["fieldNames"]):
-                    self.col(f)
-                    body = re.sub(rf"\b{re.escape(p)}\b", f"cast(`{f}` as double)", body)
-                return F.sum(only(F.expr(body)))
-            raise Unsupported("only running sums of products and sums of fields are understood as script aggregations")
+            return script.aggregated(spec, [self.col(n) for n in spec["fieldNames"]], only)
         raise Unsupported(f"aggregation '{kind}' can't be evaluated here")
 
     def post(self, spec: Mapping) -> Column:
@@ -274,6 +266,8 @@ class Compiler:
             for x in rest:
                 first = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: F.when(b == 0, F.lit(0.0)).otherwise(F.try_divide(a, b))}[spec["fn"]](first, x)
             return first
+        if kind == "javascript":
+            return script.of_numbers(spec["function"], [F.col(f"`{n}`") for n in spec["fieldNames"]])
         raise Unsupported(f"post-aggregation '{kind}' can't be evaluated here")
 
     def having(self, spec: Mapping) -> Column:

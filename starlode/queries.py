@@ -244,6 +244,10 @@ native("n_bound_regex_in", {"queryType": "groupBy", "dimensions": ["p_type"], "a
 native("n_spatial", {"queryType": "timeseries", "granularity": "all", "aggregations": [_COUNT], "filter": {"type": "spatial", "dimension": "point", "bound": {"type": "rectangular", "minCoords": [5, 0.02], "maxCoords": [30, 0.06]}}, "intervals": []}, "select count(*) as n from lineitem where l_quantity between 5 and 30 and l_discount between 0.02 and 0.06")
 native("n_filtered", {"queryType": "groupBy", "dimensions": ["l_linestatus"], "aggregations": [{"type": "filtered", "filter": {"type": "selector", "dimension": "l_returnflag", "value": "R"}, "aggregator": _COUNT}, {"type": "javascript", "name": "net", "fieldNames": ["l_quantity", "l_linenumber"], "fnAggregate": "function(current, a, b) { return current + (a * b) }", "fnCombine": "function(x, y) { return x + y }", "fnReset": "function() { return 0 }"}], "filter": {"type": "javascript", "dimension": "l_returnflag", "function": "function(x) { return(x >= 'N') }"}, "intervals": []}, "select l_linestatus, count(*) filter (where l_returnflag = 'R') as n, sum(l_quantity * l_linenumber) as net from lineitem where l_returnflag >= 'N' group by 1")
 native("n_script_filter", {"queryType": "groupBy", "dimensions": ["l_linestatus"], "aggregations": [_COUNT], "filter": {"type": "javascript", "dimension": "l_returnflag", "function": "function(x) { return x >= 'N' }"}, "intervals": []}, "select l_linestatus, count(*) as n from lineitem where l_returnflag >= 'N' group by 1")
+native("n_script_branches", {"queryType": "groupBy", "dimensions": ["l_linestatus"], "aggregations": [_COUNT], "filter": {"type": "javascript", "dimension": "p_type", "function": "function(x) { var low = x.toLowerCase(); if (low.indexOf('steel') >= 0) { return low.length > 18; } return low.substring(0, 3) === 'eco' && !low.endsWith('tin'); }"}, "intervals": []}, f"select l_linestatus, count(*) as n from {STAR} where case when p_type ilike '%steel%' then length(p_type) > 18 else p_type ilike 'eco%' and not p_type ilike '%tin' end group by 1")
+native("n_script_aggregator", {"queryType": "groupBy", "dimensions": ["l_returnflag"], "aggregations": [{"type": "javascript", "name": "big", "fieldNames": ["l_quantity", "l_linenumber"], "fnAggregate": "function(current, a, b) { if (a > 25 && b != 2) { return current + a * b; } return current; }", "fnCombine": "function(x, y) { return x + y; }", "fnReset": "function() { return 0; }"}, {"type": "javascript", "name": "top", "fieldNames": ["l_quantity", "l_linenumber"], "fnAggregate": "function(current, a, b) { return Math.max(current, a % 7 + b); }", "fnCombine": "function(x, y) { return Math.max(x, y); }", "fnReset": "function() { return -Infinity; }"}], "intervals": _1996}, f"select l_returnflag, sum(case when l_quantity > 25 and l_linenumber <> 2 then l_quantity * l_linenumber else 0 end)::double as big, max(l_quantity % 7 + l_linenumber)::double as top from lineitem where {_IN_1996} group by 1")
+native("pa_script", {"queryType": "groupBy", "dimensions": ["l_returnflag"], "aggregations": [_COUNT, _SUM], "postAggregations": [{"type": "javascript", "name": "share", "fieldNames": ["s", "n"], "function": "function(s, n) { return n === 0 ? 0 : Math.round(100 * s / n) / 100; }"}], "intervals": []}, "select l_returnflag, count(*) as n, sum(l_quantity) as s, floor(100 * sum(l_quantity) / count(*) + 0.5) / 100 as share from lineitem group by 1")
+native("x_script", {"queryType": "groupBy", "dimensions": [{"type": "extraction", "dimension": "o_orderpriority", "outputName": "p", "extractionFn": {"type": "javascript", "function": "function(x) { return 'P' + (parseInt(x) + 1) + ':' + x.substr(2).toUpperCase().trim(); }"}}], "aggregations": [_COUNT], "intervals": []}, f"select 'P' || (left(o_orderpriority, 1)::int + 1) || ':' || upper(trim(substr(o_orderpriority, 3))) as p, count(*) as n from {LO} group by 1")
 native("n_extraction_filter", {"queryType": "groupBy", "dimensions": ["l_returnflag"], "aggregations": [_COUNT], "filter": {"type": "extraction", "dimension": "__time", "value": "1996", "extractionFn": {"type": "timeFormat", "format": "yyyy", "timeZone": "UTC"}}, "intervals": []}, "select l_returnflag, count(*) as n from lineitem where year(l_shipdate) = 1996 group by 1")
 native("n_topn_alphanumeric", {"queryType": "topN", "dimension": "c_name", "metric": {"type": "alphaNumeric"}, "threshold": 6, "aggregations": [_COUNT], "intervals": []}, f"select c_name, count(*) as n from {LOC} group by 1 order by regexp_extract(c_name, '^[^0-9]*'), regexp_extract(c_name, '[0-9]+')::bigint limit 6")
 native("n_limit_order", {"queryType": "groupBy", "dimensions": ["c_name"], "aggregations": [_COUNT, _SUM], "limitSpec": {"type": "default", "limit": 9, "columns": [{"dimension": "n", "direction": "DESCENDING"}, {"dimension": "c_name"}]}, "intervals": _1996}, f"select c_name, count(*) as n, sum(l_quantity) as s from {LOC} where {_IN_1996} group by 1 order by n desc, c_name limit 9")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dates
-from .functions.extraction import Unsupported
+from .functions.script import Unsupported
 from .operators.cube import Cube, Measure
 from .plans import cost
 from .plans.elimination import Edges, eliminate, grouped, sources
