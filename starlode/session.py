@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import socket
 import threading
 import time
 import uuid
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from .functions import dates
 from .functions.script import Unsupported
 from .operators.cube import Cube, Measure
-from .plans import cost
+from .plans import cost, metrics
 from .plans.elimination import Edges, eliminate, grouped, sources
 from .plans.interval import Interval
 from .plans.model import FunctionalDependency, ModelError, StarSchema
@@ -33,6 +34,7 @@ CREATE = re.compile(r"\s*create\s+cube\s+(\S+)\s+on\s+(\S+)\s+options\s+(\{.*\})
 ROLLUP = re.compile(r"\s*create\s+rollup\s+on\s+cube\s+(\S+)\s+at\s+'([^']+)'\s+options\s+(\{.*\})\s*;?\s*$", re.I | re.S)
 INDEX = re.compile(r"\s*create\s+index\s+on\s+cube\s+(\S+)\s+at\s+'([^']+)'\s*;?\s*$", re.I)
 INSERT = re.compile(r"\s*insert\s+overwrite\s+index\s+on\s+cube\s+(\S+)\s+(select\b.*)$", re.I | re.S)
+REFRESH = re.compile(r"\s*refresh\s+cubes?(?:\s+(\S+?))?\s*;?\s*$", re.I)
 DROP = re.compile(r"\s*drop\s+(cube|index\s+on\s+cube)\s+(\S+?)\s*;?\s*$", re.I)
 EXPLAIN = re.compile(r"\s*explain\s+(?:\w+\s+)?rewrite\s+(.+)$", re.I | re.S)
 
@@ -51,12 +53,15 @@ class Engine:
         self.history: deque[tuple] = deque(maxlen=HISTORY)
         self.roots: dict[str, str] = {}
         self.edges: dict[str, Edges] = {}
+        self.versions: dict[str, frozenset] = {}
+        self.server = None
         self.tag: str | None = None
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         dates.register(spark)
         for p in self.plugins:
             if hasattr(p, "functions"):
                 p.functions(spark)
+        self._view("cube_metrics", [], metrics.METRICS)
         self._views()
 
     # --- cubes
@@ -68,6 +73,7 @@ class Engine:
         if any(q != name and q.split(".")[-1] == view for q in self.cubes):
             raise ModelError(f"another cube has the view '{view}'")
         self.cubes[name], self.edges[name] = cube, Edges(cube)
+        self.versions[name] = self._version(cube)
         cube.flat().createOrReplaceTempView(view)
         self._views()
         return cube
@@ -76,7 +82,7 @@ class Engine:
         """Forgets a cube and its view; its copies and roll-ups stay where they are."""
         q = self.qualified(name)
         self.cube(name)
-        del self.cubes[q], self.edges[q]
+        del self.cubes[q], self.edges[q], self.versions[q]
         self.roots.pop(q, None)
         self.spark.catalog.dropTempView(q.split(".")[-1])
         self._views()
@@ -124,10 +130,13 @@ class Engine:
         """``df`` without star joins of any cube that give it nothing."""
         return eliminate(df, self.edges.values())
 
-    def run(self, text: str) -> list[Row]:
-        """A statement's rows; its running time and how many they are go into the history."""
+    def run(self, text: str, attempts: int = 1) -> list[Row]:
+        """A statement's rows; its running time and how many they are go into the history, what its operators
+        did into the view ``cube_metrics``. ``attempts``: how often it may run if Spark's own retries of
+        tasks and stages haven't helped."""
         df = self.sql(text)
-        rows, seconds = timed(df.collect)
+        rows, seconds = timed(lambda: retried(df.collect, attempts))
+        self._view("cube_metrics", metrics.executed(df), metrics.METRICS)
         self.history[-1] = (*self.history[-1][:4], seconds * 1000, len(rows))
         self._view("cube_queries", list(self.history), QUERIES)
         return rows
@@ -140,6 +149,8 @@ class Engine:
         if m := CLEAR.match(text):
             self.clear_cache(m[1])
             return "clear", self.spark.createDataFrame([(m[1] or "all",)], "cleared string")
+        if m := REFRESH.match(text):
+            return "refresh", self.spark.createDataFrame([(q,) for q in self.refresh(m[1])], "cube string")
         if m := EXECUTE.match(text):
             q = NativeQuery.parse(m[2])
             return "native", self._native(self.cube(m[1]), q)
@@ -217,6 +228,65 @@ class Engine:
         elif self.spark.catalog.tableExists(name):
             self.spark.catalog.refreshTable(name)
 
+    @staticmethod
+    def _version(cube: Cube) -> frozenset:
+        return frozenset().union(*map(metrics.version, cube.tables.values()))
+
+    def refresh(self, name: str | None = None) -> list[str]:
+        """The cubes (or that one, if it is) whose tables' files changed since they were added or refreshed.
+        Their tables are listed again, what was counted of them is forgotten, and roll-ups no longer answer,
+        as they hold what was there before; ``add_rollup`` builds new ones."""
+        changed = []
+        for q in [self.qualified(name)] if name else list(self.cubes):
+            cube = self.cube(q)
+            if (now := self._version(cube)) == self.versions[q]:
+                continue
+            self.versions[q] = now
+            for t in cube.tables.values():
+                metrics.refresh(t)
+            cube.rollups.clear()
+            self.clear_cache(q)
+            changed.append(q)
+        if changed:
+            self._views()
+        return changed
+
+    def watch(self, seconds: float) -> Callable[[], None]:
+        """Refreshes all cubes every ``seconds`` in a thread of its own; the result ends that."""
+        end = threading.Event()
+
+        def look() -> None:
+            while not end.wait(seconds):
+                self.refresh()
+
+        threading.Thread(target=look, daemon=True, name="starlode-watch").start()
+        return end.set
+
+    # --- server
+
+    def serve(self, port: int = 10000, host: str = "127.0.0.1"):
+        """Spark's Thrift server over this session: JDBC and ODBC clients see the cubes' views, roll-ups of
+        ``create rollup`` as files, and the metadata views. The session needs the Hive catalog and
+        ``spark.sql.hive.thriftServer.singleSession``, without which clients don't see temporary views.
+        Star joins are left out and commands understood in ``Engine.sql`` only."""
+        conf, jvm = self.spark.conf, self.spark._jvm
+        if conf.get("spark.sql.catalogImplementation") != "hive" or conf.get("spark.sql.hive.thriftServer.singleSession", "false") != "true":
+            raise ValueError("the server needs spark.sql.catalogImplementation=hive and spark.sql.hive.thriftServer.singleSession=true")
+        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for key, value in (("hive.server2.thrift.port", str(port)), ("hive.server2.thrift.bind.host", host)):
+            hadoop.set(key, value)
+            conf.set(key, value)
+        self.server = jvm.org.apache.spark.sql.hive.thriftserver.HiveThriftServer2.startWithContext(self.spark._jsparkSession.sqlContext())
+        end = time.monotonic() + 30
+        while True:  # it begins to listen in a thread of its own
+            try:
+                socket.create_connection((host, port), 1).close()
+                return self.server
+            except OSError:
+                if time.monotonic() > end:
+                    raise
+                time.sleep(0.1)
+
     def explain_rewrite(self, text: str) -> DataFrame:
         """plan: Spark's formatted plan; then, for each cube the text names, the cost of each way."""
         df = self.accelerated(self.spark.sql(text))
@@ -271,6 +341,25 @@ def pages(df: DataFrame, order: list[str], size: int) -> Iterable[list]:
         yield page
 
 
+def retried(action: Callable[[], object], attempts: int, first: float = 0.5, most: float = 30.0, wait: Callable[[float], object] = time.sleep) -> object:
+    """What an action returns, tried up to ``attempts`` times, after waits that double from ``first`` to ``most``
+    seconds. Only failures of its execution are tried again: a query that can't be analysed, raises
+    by itself or was cancelled fails at once."""
+    for k in range(attempts - 1):
+        try:
+            return action()
+        except Exception as e:
+            if not transient(e):
+                raise
+            wait(min(most, first * 2**k))
+    return action()
+
+
+def transient(e: Exception) -> bool:
+    """Whether a failure may be one of machines: lost executors, fetch failures, connections."""
+    return isinstance(e, (ConnectionError, TimeoutError)) or any(x in str(e) for x in ("ExecutorLostFailure", "FetchFailed", "Connection reset", "Connection refused", "SocketTimeoutException"))
+
+
 def timed(action: Callable[[], object]) -> tuple[object, float]:
     """What an action returns, and its seconds."""
     began = time.perf_counter()
