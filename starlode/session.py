@@ -264,23 +264,20 @@ class Engine:
 
     # --- server
 
-    def serve(self, port: int = 10000, host: str = "127.0.0.1"):
-        """Spark's Thrift server over this session: JDBC and ODBC clients see the cubes' views, roll-ups of
-        ``create rollup`` as files, and the metadata views. The session needs the Hive catalog and
-        ``spark.sql.hive.thriftServer.singleSession``, without which clients don't see temporary views.
-        Star joins are left out and commands understood in ``Engine.sql`` only."""
-        conf, jvm = self.spark.conf, self.spark._jvm
-        if conf.get("spark.sql.catalogImplementation") != "hive" or conf.get("spark.sql.hive.thriftServer.singleSession", "false") != "true":
-            raise ValueError("the server needs spark.sql.catalogImplementation=hive and spark.sql.hive.thriftServer.singleSession=true")
-        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for key, value in (("hive.server2.thrift.port", str(port)), ("hive.server2.thrift.bind.host", host)):
-            hadoop.set(key, value)
-            conf.set(key, value)
+    def serve(self):
+        """Spark's Thrift server over this session: JDBC and ODBC clients see the cubes' views and the metadata
+        views. The session needs the Hive catalog, ``spark.sql.hive.thriftServer.singleSession``, without
+        which clients don't see temporary views, and ``spark.hadoop.hive.server2.thrift.port``; all three
+        are read when it starts. Commands and the leaving out of joins are of ``Engine.sql`` only."""
+        conf, jvm = self.spark.sparkContext.getConf(), self.spark._jvm
+        host, port = conf.get("spark.hadoop.hive.server2.thrift.bind.host", "127.0.0.1"), conf.get("spark.hadoop.hive.server2.thrift.port")
+        if conf.get("spark.sql.catalogImplementation") != "hive" or conf.get("spark.sql.hive.thriftServer.singleSession") != "true" or not port:
+            raise ValueError("the server needs spark.sql.catalogImplementation=hive, spark.sql.hive.thriftServer.singleSession=true and spark.hadoop.hive.server2.thrift.port")
         self.server = jvm.org.apache.spark.sql.hive.thriftserver.HiveThriftServer2.startWithContext(self.spark._jsparkSession.sqlContext())
         end = time.monotonic() + 30
         while True:  # it begins to listen in a thread of its own
             try:
-                socket.create_connection((host, port), 1).close()
+                socket.create_connection((host, int(port)), 1).close()
                 return self.server
             except OSError:
                 if time.monotonic() > end:

@@ -20,11 +20,11 @@ with socket.socket() as free:
     free.bind(("127.0.0.1", 0))
     port = free.getsockname()[1]
 b = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.catalogImplementation", "hive")
-b = b.config("spark.sql.warehouse.dir", sys.argv[2]).config("spark.hadoop.javax.jdo.option.ConnectionURL", "jdbc:derby:memory:x;create=true")
+b = b.config("spark.hadoop.hive.server2.thrift.port", str(port)).config("spark.sql.warehouse.dir", sys.argv[2]).config("spark.hadoop.javax.jdo.option.ConnectionURL", "jdbc:derby:memory:x;create=true")
 spark = b.config("spark.sql.hive.thriftServer.singleSession", "true").getOrCreate()
 engine = Engine(spark)
 spark.range(5).createOrReplaceTempView("five")
-engine.serve(port)
+engine.serve()
 spark._jvm.java.lang.Class.forName("org.apache.hive.jdbc.HiveDriver")
 c = spark._jvm.java.sql.DriverManager.getConnection(f"jdbc:hive2://127.0.0.1:{port}/", "x", "")
 r = c.createStatement().executeQuery("select sum(id) + (select count(*) from cube_relations) as t from five")
@@ -93,4 +93,4 @@ def test_the_server_answers_jdbc(tmp_path):
 
 def test_a_session_without_the_catalog_cannot_serve(spark):
     with pytest.raises(ValueError, match="hive"):
-        Engine(spark).serve(0)
+        Engine(spark).serve()
