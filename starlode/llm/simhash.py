@@ -17,6 +17,10 @@ Within a run no pair list is made: a search outward from a member links those wi
 and takes them from the rest, so a run gives at most one edge per member. Edges between runs are
 joined in ``graphs.connected_components``.
 
+The masked bits are free, so very many fingerprints may share a variant. A run of more than ``MOST``
+isn't held: its fingerprints pass on, and emit the ball of 2 over all 64 bits. There a variant names
+every bit, so at most 2,081 fingerprints share one, whatever the data, and none of the links is lost.
+
 Other radii: r bits are covered by masking one of (r mod 2) * 2 + 1 parts and balls of r // 2;
 radii from 0 to 5 are accepted.
 
@@ -42,7 +46,7 @@ from pyspark.sql import types as T
 from .common import batched, cut, slices
 from .graphs import connected_components
 
-SEED = 42
+SEED, MOST = 42, 16_384
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
@@ -63,21 +67,27 @@ def distance(x: np.ndarray, y: np.ndarray | np.uint64) -> np.ndarray:
     return np.bitwise_count(x ^ y)
 
 
-def masks(radius: int) -> list[tuple[int, list[int]]]:
-    """What is kept of a fingerprint, and the bits that vary, for each masked part."""
+def masks(radius: int, whole: bool = False) -> list[tuple[int, list[int]]]:
+    """What is kept of a fingerprint, and the bits that vary, for each masked part; none is masked if
+    the radius is even or the ``whole`` fingerprint is wanted."""
     if not 0 <= radius <= 5:
         raise ValueError("radius must be from 0 to 5")
-    if radius % 2 == 0:
+    if radius % 2 == 0 or whole:
         return [((1 << 64) - 1, list(range(64)))]
     parts = [range(0, 22), range(22, 43), range(43, 64)]
     return [(((1 << 64) - 1) & ~sum(1 << b for b in p), [b for b in range(64) if b not in p]) for p in parts]
 
 
-def variants(prints: np.ndarray, radius: int) -> Iterator[np.ndarray]:
+def balls(radius: int, whole: bool = False) -> list[tuple[int, list[int]]]:
+    """For each masked part, what is kept and the flips within half the radius, rounded up for ``whole``."""
+    half = (radius + whole) // 2
+    return [(kept, [0] + [sum(1 << b for b in c) for n in range(1, half + 1) for c in combinations(bits, n)]) for kept, bits in masks(radius, whole)]
+
+
+def variants(prints: np.ndarray, radius: int, whole: bool = False) -> Iterator[np.ndarray]:
     """For each masked part, the variants (rows: fingerprints) within half the radius. Different
     parts get different numbers from the masked bits, which are free."""
-    for k, (kept, bits) in enumerate(masks(radius)):
-        flips = [0] + [sum(1 << b for b in c) for n in range(1, radius // 2 + 1) for c in combinations(bits, n)]
+    for k, (kept, flips) in enumerate(balls(radius, whole)):
         free = next((b for b in range(64) if not kept >> b & 1), None)
         mark = np.uint64(0 if free is None else k << free)
         yield ((prints & np.uint64(kept))[:, None] ^ np.array(flips, dtype=np.uint64)[None, :]) ^ mark
@@ -100,49 +110,78 @@ def run_links(members: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def links(prints: DataFrame, column: str, radius: int) -> DataFrame:
-    """(a, b): edges between distinct fingerprints (longs) that join those within ``radius``."""
-    size = sum(1 + sum(1 for n in range(1, radius // 2 + 1) for _ in combinations(bits, n)) for _, bits in masks(radius))
+def meetings(prints: DataFrame, radius: int, whole: bool = False, most: int | None = None) -> DataFrame:
+    """(a, b): edges between fingerprints that share a variant and are within ``radius``; (a, null) for
+    each fingerprint of a run of more than ``most``."""
+    size = sum(len(flips) for _, flips in balls(radius, whole))
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
             every = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for at in range(0, len(every), max(1, 1_000_000 // size)):
                 some = every[at : at + max(1, 1_000_000 // size)]
-                for v in variants(some, radius):
+                for v in variants(some, radius, whole):
                     keys = v.reshape(-1).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(some, v.shape[1]).view(np.int64))], names=["variant", "print"])
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         keys, members = np.empty(0, np.int64), np.empty(0, np.uint64)
+        passing = None  # the variant whose run is too large to hold
+
+        def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-        def runs(keys: np.ndarray, members: np.ndarray) -> pa.RecordBatch:
+        def passed(of: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(of.view(np.int64)), pa.nulls(len(of), pa.int64())], names=["a", "b"])
+
+        def runs(keys: np.ndarray, members: np.ndarray) -> Iterable[pa.RecordBatch]:
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, int)
             sizes = np.diff(np.r_[starts, len(keys)])
             a, b = [], []
             for s, n in zip(starts[sizes > 2], sizes[sizes > 2]):
+                if most is not None and n > most:
+                    yield passed(members[s : s + n])
+                    continue
                 x, y = run_links(members[s : s + n], radius)
                 a += x
                 b += y
             two = starts[sizes == 2]
             near = distance(members[two], members[two + 1]) <= radius if len(two) else np.empty(0, bool)
             x, y = members[two][near], members[two + 1][near]
-            ends = [np.concatenate([np.array(p, dtype=np.uint64), q]).view(np.int64) for p, q in ((a, x), (b, y))]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(*ends)), pa.array(np.maximum(*ends))], names=["a", "b"])
+            yield edges(*(np.concatenate([np.array(p, dtype=np.uint64), q]).view(np.int64) for p, q in ((a, x), (b, y))))
 
         for batch in batches:
-            keys = np.concatenate([keys, batch.column(0).to_numpy(zero_copy_only=False)])
-            members = np.concatenate([members, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-            if not len(keys):
+            new, more = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            if passing is not None:
+                at = int(np.searchsorted(new, passing, side="right"))
+                yield passed(more[:at])
+                new, more = new[at:], more[at:]
+            if not len(new):
                 continue
+            passing = None
+            keys, members = np.concatenate([keys, new]), np.concatenate([members, more])
             last = int(np.searchsorted(keys, keys[-1]))  # the last run may go on in the next batch
             if last:
-                yield runs(keys[:last], members[:last])
+                yield from runs(keys[:last], members[:last])
                 keys, members = keys[last:], members[last:]
-        yield runs(keys, members)
+            if most is not None and len(keys) > most:
+                passing = keys[-1]
+                yield passed(members)
+                keys, members = keys[:0], members[:0]
+        yield from runs(keys, members)
+
+    every = prints.mapInArrow(emit, "variant long, print long")
+    return every.repartition("variant").sortWithinPartitions("variant", "print").mapInArrow(meet, "a long, b long").distinct()
+
 
-    emitted = prints.select(column).mapInArrow(emit, "variant long, print long")
-    return emitted.repartition("variant").sortWithinPartitions("variant", "print").mapInArrow(meet, "a long, b long").distinct()
+def links(prints: DataFrame, column: str, radius: int, most: int = MOST) -> DataFrame:
+    """(a, b): edges between distinct fingerprints (longs) that join those within ``radius``."""
+    prints = prints.select(column)
+    if radius % 2 == 0:
+        return meetings(prints, radius)
+    found = cut(meetings(prints, radius, most=most))
+    crowded, found = found.where("b is null").select("a"), found.where("b is not null")
+    return found if crowded.isEmpty() else found.unionByName(meetings(crowded, radius, whole=True))
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:

@@ -117,6 +117,31 @@ def test_a_variant_with_many_members(spark):
                 assert find(x) == find(y)
 
 
+@pytest.mark.parametrize("radius", [1, 3])
+@pytest.mark.parametrize("rows", [7, 10_000])
+def test_crowded_variants_lose_no_link(spark, rows, radius):
+    """Fingerprints that differ in masked bits only, in runs too large to hold, among others."""
+    rng = random.Random(7)
+    prints = [rng.getrandbits(22) & 0x0FFF7 for _ in range(150)] + [rng.getrandbits(20) << 44 for _ in range(150)]
+    for _ in range(40):
+        x = rng.getrandbits(64)
+        prints += [x, x ^ 1 << rng.randrange(64), x ^ 7 << rng.randrange(60)]
+    signed = sorted({int(np.uint64(p).view(np.int64)) for p in prints})
+    df = spark.createDataFrame([(p,) for p in signed], "print long").repartition(3)
+    own = brute_simhash.components({p: p & (1 << 64) - 1 for p in signed}, radius)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        crowded = simhash.meetings(df, radius, most=20).where("b is null").count()
+        edges = simhash.links(df, "print", radius, most=20).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert crowded > 250
+    assert all(((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= radius for r in edges)
+    parts = {r.id: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    groups = lambda of: sorted(sorted(p for p in signed if of(p) == r) for r in {of(p) for p in signed})
+    assert groups(lambda p: parts.get(p, p)) == groups(own.__getitem__)
+
+
 def test_many_rows_of_one_id_and_clashing_names(spark):
     rows = [(1, "same words in all of these rows", i % 3, "p", "r", "w") for i in range(5000)] + [(None, "no id here at all", 7, "p", "r", "w")] * 3 + [(2, "other words that stand alone", 1, "p", "r", "w")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n int, print string, root string, row string").repartition(7)
