@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 from .common import batched, cut, slices
 from .graphs import connected_components
 
-SEED, MOST = 42, 16_384
+SEED, MOST, BITS = 42, 16_384, 26
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
@@ -225,7 +225,7 @@ def keep_least(df: DataFrame, docs: DataFrame, named: DataFrame, key: str, text:
     every print; ``of`` gives a text's print."""
     named = cut(named)
     kept = named.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias(key)).distinct()
-    out = df.join(kept, key, "left_semi").select(*df.columns)
+    out = remaining(df, docs.where(F.col(key).isNotNull()).select(key).distinct().join(kept, key, "left_anti"), kept, key)
     repeated = docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
     others = F.struct(F.xxhash64(*(c for c in df.columns if c != key)), F.col(text))
     row, mark, whole = (unused(df, n) for n in ("print", "root", "row"))
@@ -251,6 +251,22 @@ def keep_least(df: DataFrame, docs: DataFrame, named: DataFrame, key: str, text:
     return out.unionByName(alone.groupBy(mark).agg(first).select(f"{whole}.*"))
 
 
+def remaining(df: DataFrame, dropped: DataFrame, kept: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose key is ``kept``. Those whose key's hash falls on no ``dropped`` one in a bitmap
+    of 2 ** BITS (8 MB at most) stay where they are; only the others are shuffled to be joined. Beyond about
+    2 ** BITS dropped keys the bitmap is full, and all rows are joined."""
+    at = lambda: F.xxhash64(key).bitwiseAND((1 << BITS) - 1)
+    cell, bits = unused(df, "cell"), unused(df, "bits")
+    cells = dropped.groupBy(F.shiftright(at(), 15).alias(cell)).agg(F.bitmap_construct_agg(at().bitwiseAND(32767)).alias(bits))
+    cells = F.broadcast(cut(cells))  # a row of 4 KB for each of 2 ** (BITS - 15) cells
+    place = at().bitwiseAND(32767).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    mark = F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(place, F.lit(8)))), F.lit(2)), F.lit(0))
+    rows = df.where(df[key].isNotNull()).withColumn(cell, F.shiftright(at(), 15)).join(cells, cell, "left")
+    unsure = rows.where(mark == 1).select(*df.columns).join(kept, key, "left_semi").select(*df.columns)
+    return rows.where(mark == 0).select(*df.columns).unionByName(unsure)
+
+
 def unused(df: DataFrame, name: str) -> str:
     while name in df.columns:
         name = f"_{name}"

@@ -148,3 +148,16 @@ def test_many_rows_of_one_id_and_clashing_names(spark):
     got = simhash.deduplicate(df)
     assert got.columns == df.columns and sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, "no id here at all"), (1, "same words in all of these rows"), (2, "other words that stand alone")]
     assert sorted(map(repr, got.collect())) == sorted(map(repr, simhash.deduplicate(df.repartition(3)).collect()))
+
+
+@pytest.mark.parametrize("bits", [15, 16, 26])
+def test_remaining_rows(spark, monkeypatch, bits):
+    """With a full bitmap, a crowded one and a sparse one; keys in no bitmap cell, null keys, clashing names."""
+    monkeypatch.setattr(simhash, "BITS", bits)
+    df = spark.range(60_000).select(F.when(F.col("id") % 1000 != 5, F.col("id")).alias("doc_id"), F.lit("x").alias("cell"), F.lit("y").alias("bits"))
+    gone = spark.range(60_000).where("id % 3 = 1 and id % 1000 != 5").toDF("doc_id")
+    kept = spark.range(60_000).where("id % 3 != 1 and id % 1000 != 5").toDF("doc_id")
+    got = simhash.remaining(df, gone, kept, "doc_id")
+    assert got.columns == df.columns
+    assert sorted(r.doc_id for r in got.collect()) == [i for i in range(60_000) if i % 3 != 1 and i % 1000 != 5]
+    assert simhash.remaining(df, gone.limit(0), kept.unionByName(gone), "doc_id").count() == 60_000 - 60
