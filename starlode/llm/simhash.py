@@ -49,18 +49,22 @@ from .graphs import connected_components
 SEED, MOST, BITS = 42, 16_384, 26
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 65536):  # bounds the unpacked bits
+        bits = np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
     words = (text or "").encode().lower().split()
     if not words:
         return 0
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
     n = max(1, len(words) - shingle + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), dtype=np.uint64, count=n)
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 65536):  # bounds the unpacked bits
-        bits = np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), dtype=np.uint64, count=n))
 
 
 def distance(x: np.ndarray, y: np.ndarray | np.uint64) -> np.ndarray:
