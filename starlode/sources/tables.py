@@ -21,6 +21,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Rows of one task where tables are dealt out by key. A join with a group a key takes some 400 bytes of memory a row.
+TASK_ROWS = 500_000
+
+
+def dealt(spark: SparkSession, folder: str, keys: dict[str, str]) -> dict[str, DataFrame]:
+    """Tables in equally many parts by their keys, so that joining them and forming groups by key takes one task the
+    same memory at any size and any number of shuffle partitions. Tables of up to eight parts fit one task and stay as
+    they are, which lets small ones be broadcast. Rows are counted from the files' footers; a key's rows stay together."""
+    found = {n: table(spark, folder, n) for n in keys}
+    parts = -(-sum(df.count() for df in found.values()) // TASK_ROWS)
+    if parts <= 8:
+        return found
+    return {n: df.repartition(max(parts, spark.sparkContext.defaultParallelism), keys[n]) for n, df in found.items()}
+
+
 def views(spark: SparkSession, folder: str, names: tuple[str, ...] = NAMES[:8]) -> None:
     """Temporary views of a folder's tables, and of nation and region in both their parts."""
     for n in names:
